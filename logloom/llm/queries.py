@@ -8,12 +8,24 @@ from pyspark.sql import functions as F
 from logloom.llm.common import load
 
 
+def op1_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.neighbours import nearest_neighbours
+
+    return nearest_neighbours(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logloom.llm.mixing import mix_documents
 
     return mix_documents(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.licenses import scan_licenses
+
+    return scan_licenses(load(spark, sf_dir, "documents")).drop("found")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logloom.llm.urls import judge_urls, rule_table
 
