@@ -46,8 +46,15 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.substrings import remove_repeats
+
+    cut = remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP6_SQL = r"""
-WITH at AS (
+WITH parts AS (
   SELECT page_id,
     coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
@@ -57,14 +64,27 @@ fit AS (SELECT page_id, host, path, CASE
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
     WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/en/') THEN 'com/en/'
     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/de/') THEN 'net/de/'
-    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM at)
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM parts)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/de/8', 'com/en/', 'org/es/') THEN 'block' ELSE 'allow' END AS verdict FROM fit
 """
 
 
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM p),
+f AS (SELECT s, min(doc_id) AS m FROM g GROUP BY s HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT DISTINCT g.doc_id, unnest(range(g.i, g.i + 13)) AS j FROM g JOIN f ON g.s = f.s WHERE f.m < g.doc_id),
+l AS (SELECT doc_id, list(j) AS js FROM r GROUP BY doc_id),
+k AS (SELECT d.doc_id, len(d.w) AS n, coalesce(len(l.js), 0) AS x,
+  list_filter(d.w, lambda v, i: l.js IS NULL OR NOT list_contains(l.js, i)) AS kept FROM d LEFT JOIN l ON d.doc_id = l.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(x AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL}
+    return {"op6_url_filter": OP6_SQL, "op9_substring_dedup": OP9_SQL}
