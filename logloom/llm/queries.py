@@ -14,6 +14,12 @@ def op1_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.decontaminate import find_leaks
+
+    return find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logloom.llm.quality import classify
 
