@@ -35,11 +35,12 @@ def _longest(word: str, suffixes) -> str | None:
 
 
 def _step1(word: str) -> str:
-    if word.endswith("sses") or word.endswith("ies"):
+    # A suffix is only what follows something.
+    if len(word) > 4 and word.endswith("sses") or len(word) > 3 and word.endswith("ies"):
         word = word[:-2]
     elif word.endswith("s") and not word.endswith("ss"):
         word = word[:-1]
-    if word.endswith("eed"):
+    if word.endswith("eed") and len(word) > 3:
         if _measure(word[:-3]):
             word = word[:-1]
     else:

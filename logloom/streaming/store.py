@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logloom.functions.timeutil import instant, nanos
 from logloom.functions.tokens import tokens
@@ -64,8 +65,8 @@ class LogStore:
         if not self._exists(path):
             return self.spark.createDataFrame([], LOGS)
         done = self.commits().where("kind = 'batch'").select("batch_id").distinct()
-        rows = self.spark.read.schema(LOGS.add("batch_id", "long").add("received_date", "date")).parquet(path)
-        return rows.join(F.broadcast(done), "batch_id", "left_semi").select(*LOGS.fieldNames()[:14])
+        rows = self.spark.read.schema(T.StructType([*LOGS.fields, T.StructField("batch_id", T.LongType()), T.StructField("received_date", T.DateType())])).parquet(path)
+        return rows.join(F.broadcast(done), "batch_id", "left_semi").select(*LOGS.fieldNames())
 
     def _versioned(self, table: str, schema) -> DataFrame:
         path = self._path(table, f"v={self.state()['version']}")
