@@ -88,7 +88,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity
         met = here.join(wide, "h").select("key", "iid", "n", (F.col("pos") - F.col("at")).alias("start"))
         found = met if found is None else found.unionByName(met)
     if found is None:
-        return docs.select("doc_id").limit(0).join(benchmark.select("item_id").limit(0), how="cross").select("doc_id", "item_id", F.lit(0.0).alias("similarity"), F.lit(0).alias("first_word"), F.lit(0).alias("n_words"))
+        none = F.lit(None).cast(benchmark.schema["item_id"].dataType)
+        return docs.where("false").select("doc_id", none.alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("first_word"), F.lit(0).alias("n_words"))
 
     places = found.distinct().groupBy("key").agg(F.collect_list(F.struct("iid", "n", "start")).alias("places"))
     hit = texts.join(places, "key").select("doc_id", plain_words(F.col("text")).alias("words"), "places")
