@@ -54,17 +54,24 @@ def text_features(text: str | None, known: set | None = None, seen: dict | None
     """The features of a text; only those of known words and stems, if given. seen keeps the known ones of each word met."""
     words = set(text.encode("utf-8", "surrogatepass").translate(_FOLD).split()) if text else set()
     seen = {} if seen is None else seen
-    for w in words - seen.keys():
+    for w in (w for w in words if w not in seen):
         stems = _stems(w.decode("utf-8", "replace"))
         seen[w] = tuple(stems if known is None else (x for x in stems if x in known))
     counts = Counter(x for w in words for x in seen[w])
     return counts.keys() | {f"{x}+{k}" for x, n in counts.items() if n > 1 for k in range(2, min(n, MOST) + 1)}
 
 
-def features(text: str) -> Column:
+def features(text: str, known: list[str] | None = None) -> Column:
+    """The features of a text column; only the known ones, if given."""
+    stems = None if known is None else {x.partition("+")[0] for x in known}
+    wanted = None if known is None else set(known)
+
     @F.pandas_udf("array<string>")
-    def named(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sorted(text_features(t)))
+    def named(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            seen: dict[bytes, tuple[str, ...]] = {}
+            found = (text_features(t, stems, seen) for t in texts)
+            yield pd.Series([sorted(x if wanted is None else x & wanted) for x in found])
 
     return named(text)
 
@@ -105,22 +112,25 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2000, max_unla
     toxic_ids = F.broadcast(marked.where("toxic = 1").orderBy(order, "doc_id").limit(max_positive).select("doc_id"))
     other_ids = F.broadcast(mine(docs).select("doc_id").distinct().orderBy(order, "doc_id").limit(max_unlabelled))
     part = lambda ids, p: docs.join(ids, "doc_id", "left_semi").select(F.lit(p).alias("p"), "text")
-    sample = checkpointed(part(toxic_ids, 1).unionByName(part(other_ids, 0)))
+    sample = checkpointed(part(toxic_ids, 1).unionByName(part(other_ids, 0)).repartition(48))
     sizes = {r["p"]: r["n"] for r in sample.groupBy("p").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
         return only_prior
     n_p, n_u = sizes[1], sizes[0]
-    each = lambda p: sample.where(F.col("p") == p).select(F.explode(features("text")).alias("x"))
-    # No more than a document's features over min_share can be that frequent.
-    often = F.broadcast(checkpointed(each(1).groupBy("x").agg(F.count("*").alias("a")).where(F.col("a") >= max(3, min_share * n_p))))
-    both = often.join(each(0).join(often.select("x"), "x").groupBy("x").agg(F.count("*").alias("b")), "x", "left").fillna(0)
-    pooled = (F.col("a") + F.col("b") + 1) / (n_p + n_u + 2)
-    z = (F.col("a") / n_p - F.col("b") / n_u) / F.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u))
-    chosen = [r["x"] for r in both.withColumn("z", z).where(F.col("z") >= min_z).orderBy(F.col("z").desc(), "x").limit(max_features).collect()]
+    each = lambda p, known=None: sample.where(F.col("p") == p).select(F.explode(features("text", known)).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    # A document's features over min_share can be that frequent at most, so the driver can hold them.
+    often = {r["x"]: r["n"] for r in each(1).where(F.col("n") >= max(3, min_share * n_p)).collect()}
+    others = {r["x"]: r["n"] for r in each(0, sorted(often)).collect()}
+    told = []
+    for x, a in often.items():
+        b = others.get(x, 0)
+        pooled = (a + b + 1) / (n_p + n_u + 2)
+        told.append(((a / n_p - b / n_u) / (pooled * (1 - pooled) * (1 / n_p + 1 / n_u)) ** 0.5, x))
+    chosen = [x for z, x in sorted(told, key=lambda t: (-t[0], t[1])) if z >= min_z][:max_features]
     if not chosen:
         return only_prior
     has = F.transform(F.array(*map(F.lit, chosen)), lambda x: F.array_contains("f", x).cast("tinyint"))
-    rows = sample.withColumn("f", features("text")).select("p", has.alias("x")).toPandas()
+    rows = sample.withColumn("f", features("text", chosen)).select("p", has.alias("x")).toPandas()
     x, p = np.array(rows["x"].tolist(), np.float64), rows["p"].to_numpy()
     by_value = np.lexsort(x.T)  # the same sums whatever order the rows come in
     x, p = x[by_value], p[by_value]
