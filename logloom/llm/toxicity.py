@@ -111,7 +111,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2000, max_unla
     only_prior = ToxicityModel(bias=float(np.log(prior / (1 - prior))))
     toxic_ids = F.broadcast(marked.where("toxic = 1").orderBy(order, "doc_id").limit(max_positive).select("doc_id"))
     other_ids = F.broadcast(mine(docs).select("doc_id").distinct().orderBy(order, "doc_id").limit(max_unlabelled))
-    part = lambda ids, p: docs.join(ids, "doc_id", "left_semi").select(F.lit(p).alias("p"), "text")
+    # One text for each sampled id, however often it stands in docs.
+    part = lambda ids, p: docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).select(F.lit(p).alias("p"), "text")
     sample = checkpointed(part(toxic_ids, 1).unionByName(part(other_ids, 0)).repartition(48))
     sizes = {r["p"]: r["n"] for r in sample.groupBy("p").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
