@@ -24,13 +24,13 @@ class WriteBlocked(RuntimeError):
     """The budget leaves no room; the stream keeps its offsets and tries again."""
 
 
-def numbered(rows: DataFrame, order: list, first: Column) -> DataFrame:
-    """rows with id counting up from first in the given order, without bringing all rows into one task."""
+def numbered(rows: DataFrame, order: list, first: Column) -> tuple[DataFrame, DataFrame]:
+    """rows with id counting up from first in the given order, without bringing all rows into one task; and what to unpersist."""
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id()).persist()
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("n"))
     before = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     low = F.col("_k").bitwiseAND(F.lit((1 << 33) - 1))
-    return dealt.join(F.broadcast(before), "_part").withColumn("id", first + F.col("_before") + low).drop("_part", "_k", "_before")
+    return dealt.join(F.broadcast(before), "_part").withColumn("id", first + F.col("_before") + low).drop("_part", "_k", "_before"), dealt
 
 
 class LogStore:
@@ -92,7 +92,7 @@ class LogStore:
             if name not in rows.columns:
                 rows = rows.withColumn(name, F.lit(None).cast("string"))
         full = rows.withColumns({"ts": instant(F.col("timestamp")), "ts_nanos": nanos(F.col("timestamp")), "tokens": tokens(F.col("message")), "received_date": F.to_date("received_at")})
-        given = numbered(full, ["received_at", "timestamp", "raw"], F.lit(now["next_id"]))
+        given, held = numbered(full, ["received_at", "timestamp", "raw"], F.lit(now["next_id"]))
         path = self._path("logs", f"g={now['generation']}", f"batch_id={batch_id}")
         given.select(*LOGS.fieldNames(), "received_date").write.mode("overwrite").partitionBy("received_date").parquet(path)
         written = self.spark.read.schema(LOGS).parquet(path)
@@ -102,6 +102,7 @@ class LogStore:
         last = given.where("container_id IS NOT NULL").groupBy("host_name", "container_id").agg(F.max_by("last_timestamp", "id").alias("last_timestamp"), F.max("received_at").alias("updated_at"))
         old = self.checkpoints().join(last, ["host_name", "container_id"], "left_anti")
         old.unionByName(last).select(*CHECKPOINTS.fieldNames()).write.mode("overwrite").parquet(self._path("checkpoints", f"v={version}"))
+        held.unpersist()
         self._commit(kind="batch", batch_id=batch_id, next_id=now["next_id"] + size["n"], version=version)
         return True
 
