@@ -38,18 +38,20 @@ def parsed_containers(lines: DataFrame) -> DataFrame:
     return rows.withColumn("last_timestamp", F.col("timestamp"))
 
 
-def ingest(lines: DataFrame, store: LogStore, checkpoint: str, containers: bool = False, every: str | None = None, blocked=lambda: False) -> StreamingQuery:
+def ingest(lines: DataFrame, store: LogStore, checkpoint: str, containers: bool = False, every: str | None = None, blocked=lambda: False, name: str | None = None) -> StreamingQuery:
     """Starts the stream into store; without `every` it takes what there is and ends.
 
-    A replayed batch is committed once. Container lines not later than their container's checkpoint are dropped.
+    A replayed batch is committed once. Container lines not later than their container's checkpoint are dropped. Streams
+    into one store need a name each, kept with their checkpoint; without one it is syslog or containers.
     """
+    stream = name or ("containers" if containers else "syslog")
 
     def commit(batch: DataFrame, batch_id: int) -> None:
         rows = parsed_containers(batch) if containers else parsed_syslog(batch)
         if containers:
             seen = store.checkpoints().select("host_name", "container_id", nanos(F.col("last_timestamp")).alias("checkpoint_nanos"))
             rows = after_checkpoint(rows.withColumn("entry_nanos", nanos(F.col("timestamp"))), seen).drop("entry_nanos")
-        store.commit_batch(rows, batch_id, blocked())
+        store.commit_batch(rows, batch_id, blocked(), stream)
 
     writer = lines.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

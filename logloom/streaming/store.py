@@ -1,12 +1,15 @@
 """Log storage in Parquet: batches from a stream, the host registry, checkpoints, retention and budget.
 
-Layout under one root: logs/g=<generation>/batch_id=<n>/received_date=<day>, hosts/v=<n>, checkpoints/v=<n>, and commits, a
-row for each commit. A batch is written under its own number, so a replay overwrites it; readers see what commits names.
-A purge writes the survivors as the next generation. Old generations are removed by vacuum().
+Layout under one root: logs/g=<generation>/batch_id=<stream>-<n>/received_date=<day>, hosts/v=<n>, checkpoints/v=<n>, and
+commits, a row for each commit. A batch is written under its stream's name and number, so a replay overwrites it and streams
+that share a store do not meet; readers see what commits names. Writers of one driver take turns. A purge writes the survivors
+as the next generation. Old generations are removed by vacuum().
 """
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +20,9 @@ from logloom.operators.aggregates import live_hosts, merge_hosts, reconcile_host
 from logloom.operators.lifecycle import Budget, budget_survivors, retained
 from logloom.schema import CHECKPOINTS, HOSTS, LOGS
 
-COMMITS = "seq long, kind string, generation long, batch_id long, next_id long, version long"
+COMMITS = "seq long, kind string, generation long, batch_id string, next_id long, version long"
+#: Each commit builds on the one before, so only one may be under way.
+WRITING = threading.RLock()
 
 
 class WriteBlocked(RuntimeError):
@@ -52,7 +57,7 @@ class LogStore:
     def state(self) -> dict:
         """The last commit; zeros for a new store."""
         last = self.commits().orderBy(F.col("seq").desc()).first()
-        return last.asDict() if last else {"seq": 0, "kind": "new", "generation": 0, "batch_id": -1, "next_id": 1, "version": 0}
+        return last.asDict() if last else {"seq": 0, "kind": "new", "generation": 0, "batch_id": "none", "next_id": 1, "version": 0}
 
     def _commit(self, **changes) -> dict:
         now = self.state()
@@ -65,7 +70,7 @@ class LogStore:
         if not self._exists(path):
             return self.spark.createDataFrame([], LOGS)
         done = self.commits().where("kind = 'batch'").select("batch_id").distinct()
-        rows = self.spark.read.schema(T.StructType([*LOGS.fields, T.StructField("batch_id", T.LongType()), T.StructField("received_date", T.DateType())])).parquet(path)
+        rows = self.spark.read.schema(T.StructType([*LOGS.fields, T.StructField("batch_id", T.StringType()), T.StructField("received_date", T.DateType())])).parquet(path)
         return rows.join(F.broadcast(done), "batch_id", "left_semi").select(*LOGS.fieldNames())
 
     def _versioned(self, table: str, schema) -> DataFrame:
@@ -78,13 +83,18 @@ class LogStore:
     def checkpoints(self) -> DataFrame:
         return self._versioned("checkpoints", CHECKPOINTS)
 
-    def commit_batch(self, rows: DataFrame, batch_id: int, blocked: bool = False) -> bool:
+    def commit_batch(self, rows: DataFrame, batch_id: int, blocked: bool = False, stream: str = "syslog") -> bool:
         """Adds parsed rows (with received_at, and host_name, container_id, last_timestamp for container lines).
 
-        A batch already committed is left as it is and gives False. A blocked store raises, so that the stream's offsets stay.
+        Batches are numbered by stream. A batch already committed is left as it is and gives False. A blocked store raises,
+        so that the stream's offsets stay.
         """
         if blocked:
             raise WriteBlocked("the storage budget is used up")
+        with WRITING:
+            return self._add(rows, f"{stream}-{batch_id}")
+
+    def _add(self, rows: DataFrame, batch_id: str) -> bool:
         if self.commits().where((F.col("kind") == "batch") & (F.col("batch_id") == batch_id)).limit(1).count():
             return False
         now = self.state()
@@ -118,20 +128,24 @@ class LogStore:
 
     def purge(self, cutoff) -> int:
         """Drops rows that arrived before cutoff (None: nothing); the registry stays. Returns how many went."""
-        logs = self.logs()
-        gone = 0 if cutoff is None else logs.where(F.col("received_at") < F.lit(cutoff)).count()
-        if gone:
-            self._replace(retained(logs, F.lit(cutoff)))
+        if cutoff is None:
+            return 0
+        with WRITING:
+            logs = self.logs()
+            gone = logs.where(F.col("received_at") < F.lit(cutoff)).count()
+            if gone:
+                self._replace(retained(logs, F.lit(cutoff)))
         return gone
 
     def enforce_budget(self, max_bytes: int, chunk: int = Budget.chunk) -> int:
         """Drops chunks of the oldest rows until max_bytes of texts remain, and counts their hosts anew. Returns how many went."""
-        logs = self.logs()
-        left = budget_survivors(logs, max_bytes, chunk)
-        gone = logs.join(left.select("id"), "id", "left_anti")
-        n = gone.count()
-        if n:
-            self._replace(left, reconcile_hosts(self.hosts(), left, gone))
+        with WRITING:
+            logs = self.logs()
+            left = budget_survivors(logs, max_bytes, chunk)
+            gone = logs.join(left.select("id"), "id", "left_anti")
+            n = gone.count()
+            if n:
+                self._replace(left, reconcile_hosts(self.hosts(), left, gone))
         return n
 
     def recount(self) -> DataFrame:

@@ -54,6 +54,18 @@ def test_container_checkpoints_tell_nanoseconds_apart(spark, tmp_path):
     assert store.checkpoints().first().last_timestamp == "2024-01-01T00:00:03.500000001Z"
 
 
+def test_two_streams_share_a_store(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path / "store"))
+    put(tmp_path / "lines", "a.json", [line("<34>Oct 11 22:14:15 h1 su: one", "2026-01-01T00:00:00Z")])
+    put(tmp_path / "containers", "a.json", [container("2024-01-01T00:00:03Z two")])
+    runs = [ingest(read_lines(spark, str(tmp_path / "lines")), store, str(tmp_path / "cp1")), ingest(read_containers(spark, str(tmp_path / "containers")), store, str(tmp_path / "cp2"), containers=True)]
+    for run in runs:
+        run.awaitTermination()
+    assert {(r.id, r.message) for r in store.logs().collect()} in ({(1, "one"), (2, "two")}, {(1, "two"), (2, "one")})
+    assert {r.hostname: r.log_count for r in store.hosts().collect()} == {"h1": 1, "h": 1}
+    assert store.checkpoints().count() == 1
+
+
 def test_hosts_file(tmp_path):
     path = tmp_path / "hosts.toml"
     path.write_text('[[hosts]]\nname = "a"\nbase_url = "https://a:1"\n')
