@@ -55,7 +55,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logloom.llm.simhash import near_duplicates
 
-    return near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+    return near_duplicates(load(spark, sf_dir, "documents"), width=3, radius=2).select("doc_id", "fingerprint", "component_id")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import checkpointed
 from logloom.llm.components import connected_components
+from logloom.llm.copies import near_copies
 
 SEGMENTS, SEGMENT_BITS = 8, 8
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -108,13 +109,20 @@ def links(fps: DataFrame, dense: int = 16) -> DataFrame:
     return near.select("u", "v").union(star).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, dense: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int | None = None, dense: int = 16) -> DataFrame:
     """doc_id, fp (long), fingerprint (16 hex digits), component_id: a row for each row of docs.
 
-    component_id is the smallest doc_id reachable over links of at most 2 differing bits, the document itself included.
-    Null and empty texts have fingerprint zero and link like any other. Rows with the same doc_id each keep their own
-    fingerprint. A null doc_id counts only where a component has no other.
+    component_id is the smallest doc_id reachable over links, the document itself included: links are pairs that share
+    `similarity` of their shingle occurrences or more (copies.py), or, with radius=2, whose fingerprints differ in at
+    most 2 bits, whatever their similarity. Null and empty texts have fingerprint zero and link with each other.
+    Rows with the same doc_id each keep their own fingerprint. A null doc_id counts only where a component has no other.
     """
+    if radius is None:
+        rows = near_copies(docs, F.xxhash64("text"), fingerprint_column(F.col("text"), width).alias("fp"), width=width, similarity=similarity, dense=dense)
+        least = rows.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+        return rows.join(least, "c").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    if radius != 2:
+        raise ValueError("the chains are built for a radius of 2")
     prints = checkpointed(docs.select("doc_id", fingerprint_column(F.col("text"), width).alias("fp")))
     firsts = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     parts = connected_components(links(firsts.select("fp"), dense))
