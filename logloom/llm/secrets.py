@@ -1,9 +1,10 @@
 """Secret scan: credential patterns, and guess-cost estimates of values in credential contexts.
 
-Patterns find assignments of credentials, access key ids and long hex runs. Other values that follow a credential word
-(a passphrase, a login, a bearer header) are judged by the number of guesses they would take: dynamic programming finds
-the cheapest split of the value into common words, dates, repeats, keyboard walks and brute-force characters. A value
-that takes at least 10**`min_log10` guesses is a secret of kind guess.
+Patterns find assignments of credentials, access key ids and long hex runs. Every value that follows a credential word
+(a password, a token, a login, a bearer header) and that these do not hold whole is judged by the number of guesses it
+would take: dynamic programming finds the cheapest split of the value into common words, dates, repeats, keyboard walks
+and brute-force characters. A value that takes at least 10**`min_log10` guesses is a secret of kind guess. Only where no
+sign but a space or "is" stands before it is a plain word of one case and at most 20 letters taken for prose.
 """
 
 from __future__ import annotations
@@ -21,10 +22,17 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CONTEXT = re.compile(r"""\b(?:pwd|passphrase|passcode|pass\x20phrase|credentials?|bearer|authorization|private_?key|access_?key|signing_?key|client_?id|login)["']?\x20*(?:[:=]|\x20is\x20|\x20)\x20*["']?([!-~]{8,})""", re.A | re.I)
+#: A credential word, also within a longer name, and the value that follows it; contexts may lie in each other's values.
+CONTEXT = re.compile(
+    r"""(?:password|passwd|secret|token|api[_-]?key|(?<![A-Za-z0-9])(?:pwd|passphrase|passcode|pass\x20phrase|credentials?|bearer|authorization|(?:private|access|signing)[_\x20-]?key|client_?id|login))"""
+    r"""(?:[_-][A-Za-z0-9]{1,40}){0,4}["']?(?P<sep>\x20*[:=]\x20*|\x20+is\x20+|\x20+)(?=(?:"(?P<double>[^"\r\n]{8,})|'(?P<single>[^'\r\n]{8,})|(?!["'])(?P<bare>[!-~]{8,})))""",
+    re.A | re.I,
+)
 #: One of these is in every text in which ASSIGN or CONTEXT matches.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-CONTEXT_WORDS = ("pwd", "pass", "credential", "bearer", "authorization", "key", "client", "login")
+CONTEXT_WORDS = ("pwd", "pass", "secret", "token", "credential", "bearer", "authorization", "key", "client", "login")
+#: After a space or "is", a word like this is taken for prose.
+PROSE_WORD = re.compile("[A-Za-z]?[a-z]{1,19}|[A-Z]{1,20}")
 
 # Common words of passwords, most frequent first.
 COMMON = (
@@ -102,20 +110,33 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def guess_spans(text: str, taken: list[tuple[int, int, str, str]], min_log10: float = 10.0) -> list[tuple[int, int, str, str]]:
-    """Values in other credential contexts that take many guesses, outside the spans already taken."""
+    """Values in credential contexts that take many guesses, whole, unless the spans already taken hold all of them."""
     low = text.lower()
     if not any(w in low for w in CONTEXT_WORDS):
         return []
-    found = []
+    found, reach = [], 0
     for m in CONTEXT.finditer(text):
-        value = m[1].rstrip("\"'.,;:)]}>")
-        start, end = m.start(1), m.start(1) + len(value)
-        mixed = sum(bool(re.search(kind, value)) for kind in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-        if len(value) >= 8 and mixed >= 2 and re.search("[0-9]", value) and not any(s < end and start < e for s, e, *_ in taken) and log10_guesses(value) >= min_log10:
+        group, prose = m.lastgroup, m["sep"].strip() not in (":", "=")
+        value = m[group].split(" ")[0] if prose else m[group]
+        if group == "bare":
+            value = value.rstrip("\"'.,;:)]}>")
+        start, end = m.start(group), m.start(group) + len(value)
+        if end <= reach or (prose and PROSE_WORD.fullmatch(value.rstrip("\"'.,;:!?)]}>"))) or _covered(start, end, taken):
+            continue
+        if log10_guesses(value) >= min_log10:
             found.append((start, end, "guess", value))
+            reach = end
     return found
 
 
+def _covered(start: int, end: int, spans: list[tuple[int, int, str, str]]) -> bool:
+    """Whether spans, which are in order, hold all of start to end."""
+    for s, e, *_ in spans:
+        if s <= start < e:
+            start = e
+    return start >= end
+
+
 def joined(spans) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind, *_ in spans)
 
