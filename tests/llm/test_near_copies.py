@@ -61,3 +61,11 @@ def test_components_against_all_pairs(spark, dense):
     assert 4 < len(set(want.values())) < 120
     got = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame(rows, KIND), dense=dense).collect()}
     assert got == want
+
+
+def test_rows_go_only_because_of_their_group(spark, sf_dir):
+    text = lambda n: " ".join(f"t{n}w{i}" for i in range(30))
+    rows = [(None, text(0), "en"), (None, text(1), "en"), (None, text(2), "en"), (7, text(3), "en"), (7, text(4), "en"), (8, text(4), "de"), (None, text(3), "de"), (9, text(5), "en"), (9, text(5), "en")]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, KIND), sf_dir).collect()]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(got, key=key) == sorted([(None, text(0)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (9, text(5))], key=key)
