@@ -1,13 +1,17 @@
 """Approximate nearest neighbours by inner product, with collision-counting hashing.
 
 Vectors are scaled by the largest norm and get one more coordinate, so that all have norm 1 and the nearest by distance
-to a query is the one of the largest inner product. Each of `projections` random lines gives a number for each vector. A
-block of vectors sorts these numbers line by line. A query's own numbers centre a window on each line; a window's width
-doubles by virtual rehashing, and each vector counts the windows it lies in. Vectors whose count reaches the collision
-threshold are verified with exact inner products in double precision, until enough of the block have been.
+to a query is the one of the largest inner product. Each of `lines` random lines gives a number for each vector; a block
+of vectors keeps these numbers as one sorted array a line. A query takes the `windows` lines on which it lies furthest
+out: there a near vector lies far out too, and most others do not. Its own numbers centre a window on each of these
+lines. Virtual rehashing widens all windows level by level, and each vector counts the windows that it has come into.
+Vectors whose count reaches the collision threshold are verified by exact inner products in double precision, at the
+first level at which `enough` of a block have been.
 
 Blocks of vectors and blocks of queries meet by a join on numbered copies of the query blocks, so that each task holds
-one block of either. The best of each block are ranked by query at the end.
+one block of either. The best of each block are ranked by query at the end. `enough` is a number for a block, not a share
+of it, so the verified part falls as the table grows, to 4 % from a few blocks on. Vectors of different lengths have no
+inner product and never meet.
 """
 
 from __future__ import annotations
@@ -28,24 +32,31 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 class BlockIndex:
-    """Sorted projections of one block of vectors (norm 1) on unit lines, one line's numbers after the other's.
+    """Sorted projections of one block of vectors (norm 1) on unit lines, one line's array after the other's.
 
     A line's numbers lie in -1..1; adding 4 times the line's number keeps the lines apart in one sorted array.
     """
 
     def __init__(self, unit: np.ndarray, lines: np.ndarray):
-        self.lines, self.apart = lines, 4.0 * np.arange(len(lines))
-        at = (unit @ lines.T).T
-        order = np.argsort(at, axis=1, kind="stable").astype(np.int32)
-        self.n, self.order = len(unit), order.ravel()
-        self.at = (np.take_along_axis(at, order, axis=1) + self.apart[:, None]).ravel()
-
-    def candidates(self, query: np.ndarray, threshold: int, enough: int, width: float = 0.06, growth: float = 1.25) -> np.ndarray:
-        """Numbers of the vectors whose collisions reach the threshold, at the first width at which `enough` do."""
-        count, centre = np.zeros(self.n, np.int64), self.lines @ query + self.apart
+        self.lines, self.n = lines, len(unit)
+        self.order = np.empty((len(lines), self.n), np.int32)
+        self.at = np.empty((len(lines), self.n))
+        for j, line in enumerate(lines):
+            at = unit @ line
+            self.order[j] = np.argsort(at, kind="stable")
+            self.at[j] = at[self.order[j]] + 4 * j
+        self.order, self.at = self.order.ravel(), self.at.ravel()
+
+    def candidates(self, query: np.ndarray, windows: int, threshold: int, enough: int, growth: float = 1.08) -> np.ndarray:
+        """Numbers of the vectors whose collisions reach the threshold, at the first level at which `enough` do."""
+        at = self.lines @ query
+        out = np.argsort(-np.abs(at), kind="stable")[:windows]
+        centre = at[out] + 4.0 * out
+        # A line's numbers deviate by about 1 / sqrt(length), so the first window is about as wide as that.
+        reach = 1.2 / np.sqrt(self.lines.shape[1])
+        count = np.zeros(self.n, np.int64)
         low = high = np.searchsorted(self.at, centre)
-        while True:
-            reach = min(width, 2.0)
+        while reach < 2.0:
             lo = np.minimum(low, np.searchsorted(self.at, centre - reach))
             hi = np.maximum(high, np.searchsorted(self.at, centre + reach, side="right"))
             new = [self.order[a:b] for a, b in zip(np.r_[lo, high].tolist(), np.r_[low, hi].tolist()) if b > a]
@@ -53,56 +64,69 @@ class BlockIndex:
                 count += np.bincount(np.concatenate(new), minlength=self.n)
             low, high = lo, hi
             found = np.flatnonzero(count >= threshold)
-            if len(found) >= min(enough, self.n) or width >= 2.0:
-                return found if width < 2.0 else np.arange(self.n)
-            width *= growth
+            if len(found) >= enough:
+                return found
+            reach *= growth
+        return np.arange(self.n)
 
 
-def search_block(base: pd.DataFrame, asked: pd.DataFrame, k: int, norm: float, projections: int, threshold: float, share: float, seed: int) -> pd.DataFrame:
-    """query_id, vec_id, score: the best k of one block for each query, ties to the smaller vec_id."""
+def search_block(base: pd.DataFrame, asked: pd.DataFrame, k: int, lines: int, windows: int, threshold: float, enough: int, seed: int) -> pd.DataFrame:
+    """query_id, vec_id, score, verified: the best k of one block for each query, ties to the smaller vec_id, and how many were verified."""
+    empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "verified": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64", "verified": "int64"})
     if not len(base) or not len(asked):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-    x, ids = np.array(base["embedding"].tolist(), np.float64), base["vec_id"].to_numpy(np.int64)
-    q, q_ids = np.array(asked["embedding"].tolist(), np.float64), asked["vec_id"].to_numpy(np.int64)
-    unit = x / norm
+        return empty
+    x, ids = np.stack(base["embedding"].to_list()).astype(np.float64), base["vec_id"].to_numpy(np.int64)
+    q, q_ids = np.stack(asked["embedding"].to_list()).astype(np.float64), asked["vec_id"].to_numpy(np.int64)
+    unit = x / (float(np.sqrt(base["norm2"].iloc[0])) * (1 + 1e-12))
     unit = np.hstack([unit, np.sqrt(np.maximum(0, 1 - (unit**2).sum(1)))[:, None]])
     centre = np.hstack([q / np.linalg.norm(q, axis=1)[:, None], np.zeros((len(q), 1))])
-    lines = np.random.default_rng(seed).standard_normal((projections, unit.shape[1]))
-    index = BlockIndex(unit, lines / np.linalg.norm(lines, axis=1)[:, None])
+    index = None
+    if len(x) > enough:
+        dirs = np.random.default_rng(seed).standard_normal((lines, unit.shape[1]))
+        index = BlockIndex(unit, dirs / np.linalg.norm(dirs, axis=1)[:, None])
     out = []
     for i in range(len(q)):
-        near = index.candidates(centre[i], int(np.ceil(threshold * projections)), k + 1 + int(share * len(x)))
+        near = np.arange(len(x)) if index is None else index.candidates(centre[i], min(windows, lines), int(np.ceil(threshold * min(windows, lines))), enough)
         near = near[ids[near] != q_ids[i]]
-        score = x[near] @ q[i]
+        verified, score = len(near), x[near] @ q[i]
         if len(near) > 4 * k:
             keep = score >= np.partition(score, -k)[-k]
             near, score = near[keep], score[keep]
         best = np.lexsort((ids[near], -score))[:k]
-        out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[near[best]], "score": score[best]}))
+        out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[near[best]], "score": score[best], "verified": verified}))
     return pd.concat(out, ignore_index=True)
 
 
-def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, projections: int = 64, threshold: float = 0.7, share: float = 0.25, block: int = 8192, query_block: int = 1024, seed: int = 11) -> DataFrame:
-    """query_id, rank, vec_id, score: each query row's k nearest of all other rows by inner product, nearest first.
-
-    Columns vec_id and embedding; rows that usable() leaves out take no part, neither as queries nor as candidates. All
-    vectors must have one length. A query's own vec_id is no candidate. Fewer than k candidates: all of them. Ties go to
-    the smaller vec_id. A vec_id that repeats is searched and found once for each different vector. `share` is the part of a
-    block that is verified at least; `threshold` the part of the lines on which a vector must collide.
-    """
-    rows = checkpointed(usable(vectors.select("vec_id", "embedding")).distinct().withColumn("asks", F.coalesce(is_query, F.lit(False))))
-    size = rows.agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("q"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("norm2")).first()
-    blocks, asks = max(1, -(-size["n"] // block)), max(1, -(-(size["q"] or 0) // query_block))
-    norm = float(np.sqrt(size["norm2"] or 1.0)) * (1 + 1e-12)
+def found_in_blocks(vectors: DataFrame, is_query: Column, k: int = 20, lines: int = 512, windows: int = 48, threshold: float = 0.41, enough: int = 500, block: int = 16384, query_block: int = 2048, seed: int = 11) -> DataFrame:
+    """query_id, vec_id, score, verified: for each query row, the best k of each block of vectors; see nearest_neighbours()."""
+    rows = usable(vectors.select("vec_id", "embedding")).distinct()
+    norm2 = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    rows = checkpointed(rows.select("vec_id", "embedding", F.size("embedding").alias("length"), norm2.alias("norm2"), F.coalesce(is_query, F.lit(False)).alias("asks")))
+    at_least_one = lambda n, size: F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
+    # One row for each length of vector.
+    shapes = rows.groupBy("length").agg(F.max("norm2").alias("norm2"), at_least_one(F.count("*"), block).alias("blocks"), at_least_one(F.count_if("asks"), query_block).alias("asked"))
+    placed = rows.drop("norm2").join(shapes, "length")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     spread = F.xxhash64(F.lit(seed), "vec_id")
-    pairs = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    base = rows.select("vec_id", "embedding", F.pmod(spread, F.lit(blocks)).cast("int").alias("b")).withColumn("g", pairs(asks))
-    asked = rows.where("asks").select("vec_id", "embedding", F.pmod(spread, F.lit(asks)).cast("int").alias("g")).withColumn("b", pairs(blocks))
+    base = placed.select("vec_id", "embedding", "length", "norm2", F.pmod(spread, F.col("blocks")).cast("int").alias("b"), numbers("asked").alias("g"))
+    queries = placed.where("asks").select(F.pmod(spread, F.col("asked")).cast("int").alias("g"), numbers("blocks").alias("b"), *[F.col(c).alias(f"q_{c}") for c in ("vec_id", "embedding", "length")])
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return search_block(left, right, k, norm, projections, threshold, share, seed)
+        return search_block(left, right.rename(columns={"q_vec_id": "vec_id", "q_embedding": "embedding"}), k, lines, windows, threshold, enough, seed)
+
+    return base.groupBy("length", "b", "g").cogroup(queries.groupBy("q_length", "b", "g")).applyInPandas(meet, "query_id long, vec_id long, score double, verified long")
 
-    found = base.groupBy("b", "g").cogroup(asked.groupBy("b", "g")).applyInPandas(meet, "query_id long, vec_id long, score double")
+
+def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, **options) -> DataFrame:
+    """query_id, rank, vec_id, score: each query row's k nearest of all other rows by inner product, nearest first.
+
+    Columns vec_id and embedding; others are not looked at. Rows that usable() leaves out take no part, neither as
+    queries nor as candidates. A query meets the vectors of its own length only. A query's own vec_id is no candidate.
+    Fewer than k candidates: all of them. Ties go to the smaller vec_id. A vec_id that repeats is searched and found once
+    for each different vector, and listed with the best score. An empty table gives no rows. `threshold` is the part of a
+    query's `windows` that a vector must come into; `enough` vectors of each block do so at least before any is verified.
+    """
+    found = found_in_blocks(vectors, is_query, k, **options)
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
