@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read back; more compact than checkpointed()."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def free_names(taken, *wanted: str) -> list[str]:
+    """Column names like those wanted that are not among the taken ones, whatever their case."""
+    out, taken = [], {c.lower() for c in taken}
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, all else as it is; null becomes the empty text."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

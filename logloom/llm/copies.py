@@ -1,16 +1,18 @@
-"""Near copies at a given shingle similarity, by an exact prefix join and stars.
+"""Near copies at a given shingle similarity: prefix keys find candidates, SimHash prunes them, whole shingle sets decide.
 
 The similarity of two texts is the share of shingle occurrences that they have in common: shared ones over all of both.
 With the occurrences of every text in one global order, two texts of at least the similarity share one of the first
-n - ceil(similarity * n) + 1 occurrences of each, so an equi-join on these prefixes meets every such pair, and the
-occurrences of the whole texts then decide. Any order is right; shingles that a sample finds often come last, which
-keeps common lines out of the prefixes.
+n - ceil(similarity * n) + 1 occurrences of each, so an equi-join on these prefixes meets every such pair. Any order is
+right; shingles that a sample finds often come last, which keeps common lines out of the prefixes.
 
-A SimHash cannot do this: at a similarity of 0.8 it differs in 10 bits of 64 with a deviation of 3, and chains for a
-radius that keeps such pairs let through most unrelated ones.
+Candidates then compare SimHash fingerprints of 256 bits. At a similarity of 0.8 these differ in 39 bits with a deviation
+of 6, so the radius of 68 loses less than one pair in a million; unrelated texts differ in 128. Pigeonring chains cannot
+find the candidates: for such a radius each segment of 8 bits may differ in 2, so that it is no join key, and of unrelated
+texts one pair in seven agrees that well on a segment.
 
-Equal texts are one node. A key that more than `dense` nodes share does not pair them all at once: some of its nodes,
-the hubs, are compared with the others first, and only nodes that are not connected by then are compared in pairs.
+Equal texts are one node. A key of up to three nodes gives all its pairs, from sums by key alone. A key of more, a crowd,
+gives a star around its least node; what is still apart after that is compared with the nearest of the crowd, and pairs
+apart after that, and only these, are all compared.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import checkpointed
+from logloom.llm.common import checkpointed, stored
 from logloom.llm.components import connected_components
 from logloom.llm.tokens import batches, mix, run_hashes, word_hashes
 
@@ -32,10 +34,13 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _REPEAT = np.uint64(0x9E3779B97F4A7C15)
 #: One text of SAMPLE is looked at for common shingles, and so many of these at most are told to the tasks (16 bytes each).
 SAMPLE, OFTEN, MOST_COMMON = 16, 3, 200_000
-#: Stars of each crowded key.
-HUBS = 3
 #: So many nodes to compare (16 bytes each) go to every task; more are joined by shuffle.
 BROADCAST_NODES = 300_000
+#: Fingerprints of fewer shingles than this deviate too much to prune by.
+FEW = 64
+#: 64-bit parts of a fingerprint.
+PARTS = 4
+_FP = [f"f{i}" for i in range(PARTS)]
 
 
 def occurrences(texts, width: int) -> Iterator[np.ndarray]:
@@ -57,35 +62,66 @@ def prefix_size(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
-def occurrence_column(text: Column, width: int) -> Column:
-    @F.pandas_udf("array<long>")
-    def hashes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def wide_simhash(h: np.ndarray, chunk: int = 50_000) -> list[int]:
+    """The PARTS signed 64-bit numbers of a text's fingerprint: a bit is set if it is in over half the hashes."""
+    out = []
+    for part in range(PARTS):
+        x, ones = mix(h + np.uint64(2 * part + 1)), np.zeros(64, np.int64)
+        for i in range(0, len(x), chunk):
+            ones += np.unpackbits(x[i : i + chunk].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(h)).view(">i8")[0]))
+    return out
+
+
+def signature(h: np.ndarray) -> int:
+    """A hash of all of a text's shingle occurrences."""
+    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).astype(np.int64))
+
+
+def sketch_column(text: Column, width: int) -> Column:
+    """n, sig and the fingerprint's parts: the number of occurrences, a hash of all of them, their SimHash."""
+
+    @F.pandas_udf("n int, sig long, " + ", ".join(f"{f} long" for f in _FP))
+    def sketches(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
-            yield pd.Series([h.view(np.int64) for h in occurrences(texts.tolist(), width)], dtype=object)
+            rows = [(len(h), signature(h), *wide_simhash(h)) for h in occurrences(texts.tolist(), width)]
+            yield pd.DataFrame(rows, columns=["n", "sig", *_FP]).astype({"n": np.int32} | {c: np.int64 for c in ("sig", *_FP)})
 
-    return hashes(text)
+    return sketches(text)
 
 
 def prefix_column(text: Column, width: int, similarity: float, common) -> Column:
-    """n, sig and keys: the number of occurrences, a hash of all of them, and the prefix. common is a broadcast (hashes, counts)."""
+    """sig and keys, the prefix; a text that repeats within a batch has no keys again. common is a broadcast (hashes, counts)."""
 
-    @F.pandas_udf("n int, sig long, keys array<long>")
+    @F.pandas_udf("sig long, keys array<long>")
     def prefixes(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known, counts = common.value
         for texts in parts:
-            rows = []
+            sigs, keys, seen = [], [], set()
             for h in occurrences(texts.tolist(), width):
+                sigs.append(signature(h))
+                if sigs[-1] in seen:
+                    keys.append(np.zeros(0, np.int64))
+                    continue
+                seen.add(sigs[-1])
                 at = np.searchsorted(known, h)
                 at[at == len(known)] = 0
                 weight = np.where(known[at] == h, counts[at], 0) if len(known) else np.zeros(len(h), np.int64)
-                keys = h[np.lexsort((h, weight))[: prefix_size(len(h), similarity)]]
-                rows.append((len(h), xxhash.xxh64_intdigest(h.tobytes()), keys.view(np.int64)))
-            n, sig, keys = zip(*rows) if rows else ((), (), ())
-            yield pd.DataFrame({"n": np.array(n, np.int32), "sig": np.array(sig, np.uint64).view(np.int64), "keys": pd.Series(keys, dtype=object)})
+                keys.append(h[np.lexsort((h, weight))[: prefix_size(len(h), similarity)]].view(np.int64))
+            yield pd.DataFrame({"sig": np.array(sigs, np.int64), "keys": pd.Series(keys, dtype=object)})
 
     return prefixes(text)
 
 
+def occurrence_column(text: Column, width: int) -> Column:
+    @F.pandas_udf("array<long>")
+    def hashes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([h.view(np.int64) for h in occurrences(texts.tolist(), width)], dtype=object)
+
+    return hashes(text)
+
+
 def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select(F.explode(occurrence_column(F.col("text"), width)).alias("h"))
     often = sample.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "h").limit(MOST_COMMON).toPandas()
@@ -94,50 +130,102 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     return h[order], c[order]
 
 
+def shared_keys(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """key, sig, m, a, b, x: for each key of m > 1 nodes, its least (a) and greatest (b) node and the XOR of all (x).
+
+    A key of up to three nodes has one row, with sig = a; a crowd has a row for each of its nodes. One shuffle of (key,
+    sig) serves the sums and the join.
+    """
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
+    each = docs.select(prefix_column(F.col("text"), width, similarity, common).alias("p")).select(F.explode("p.keys").alias("key"), "p.sig").repartition("key")
+    sums = each.distinct().groupBy("key").agg(F.count("*").alias("m"), F.min("sig").alias("a"), F.max("sig").alias("b"), F.bit_xor("sig").alias("x")).where("m > 1")
+    return stored(each.join(sums, "key").where("m > 3 OR sig = a").distinct())
+
+
+def first_candidates(shared: DataFrame) -> DataFrame:
+    """u, v (u < v): all pairs of the keys of two or three nodes, and the stars of the crowds."""
+    pair = lambda u, v: F.struct(F.least(u, v).alias("u"), F.greatest(u, v).alias("v"))
+    a, b = F.col("a"), F.col("b")
+    third = F.col("x").bitwiseXOR(a).bitwiseXOR(b)
+    pairs = F.when(F.col("m") == 2, F.array(pair(a, b))).when(F.col("m") == 3, F.array(pair(a, b), pair(a, third), pair(third, b))).otherwise(F.array(pair(a, F.col("sig"))))
+    return shared.select(F.explode(pairs).alias("p")).select("p.u", "p.v").where("u < v").distinct()
+
+
+def _described(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    for side in ("u", "v"):
+        pairs = pairs.join(nodes.select(F.col("sig").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *_FP)]), side)
+    return pairs
+
+
+def distance(u: str = "u_", v: str = "v_") -> Column:
+    return sum((F.bit_count(F.col(u + f).bitwiseXOR(F.col(v + f))) for f in _FP[1:]), F.bit_count(F.col(u + _FP[0]).bitwiseXOR(F.col(v + _FP[0]))))
+
+
+def possible(similarity: float, radius: int) -> Column:
+    """Whether two described nodes are near enough in size and, if not of few shingles, by fingerprint."""
+    return (F.least("u_n", "v_n") >= similarity * F.greatest("u_n", "v_n") - 1e-9) & ((F.least("u_n", "v_n") < FEW) | (distance() <= radius))
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (u, v) of nodes whose texts have at least the similarity."""
     wanted = pairs.select(F.col("u").alias("sig")).union(pairs.select(F.col("v").alias("sig"))).distinct()
     wanted = checkpointed(wanted.join(nodes.select("sig", "tkey"), "sig"))
     if wanted.count() <= BROADCAST_NODES:
         wanted = F.broadcast(wanted)
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"), "text").join(wanted, "tkey").dropDuplicates(["sig"])
-    sets = checkpointed(texts.select("sig", occurrence_column(F.col("text"), width).alias("hs")))
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"), "text").join(wanted, "tkey").groupBy("sig").agg(F.min("text").alias("text"))
+    sets = texts.select("sig", occurrence_column(F.col("text"), width).alias("hs"))
     both = pairs.join(sets.select(F.col("sig").alias("u"), F.col("hs").alias("hu")), "u").join(sets.select(F.col("sig").alias("v"), F.col("hs").alias("hv")), "v")
-    shared = F.size(F.array_intersect("hu", "hv"))
-    return checkpointed(both.where(shared >= similarity * (F.size("hu") + F.size("hv") - shared) - 1e-9).select("u", "v"))
+    overlap = F.size(F.array_intersect("hu", "hv"))
+    return checkpointed(both.where(overlap >= similarity * (F.size("hu") + F.size("hv") - overlap) - 1e-9).select("u", "v"))
 
 
-def _fit(similarity: float) -> Column:
-    """Whether two nodes (columns n and m) are near enough in size."""
-    return F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of pairs (u, v, h), each node's nearest, as u < v."""
+    ways = pairs.select("u", "v", "h").union(pairs.select("v", "u", "h"))
+    best = ways.groupBy("u").agg(F.min(F.struct("h", "v")).alias("best"))
+    return best.select(F.least("u", "best.v").alias("u"), F.greatest("u", "best.v").alias("v")).distinct()
 
 
-def near_copies(docs: DataFrame, row: Column, *extra: Column, width: int = 5, similarity: float = 0.8, dense: int = 4) -> DataFrame:
-    """row, doc_id, extra columns, node, c: each row of docs with its component c, the same for rows connected by
-    pairs of at least the similarity. Texts without words are one component."""
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
-    tkey = F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey")
-    prints = docs.select("doc_id", row.alias("row"), *extra, tkey, prefix_column(F.col("text"), width, similarity, common).alias("p"))
-    prints = checkpointed(prints.select("doc_id", "row", *[c for c in prints.columns if c not in ("doc_id", "row", "p")], "p.*"))
-    nodes = checkpointed(prints.groupBy("sig").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("tkey").alias("tkey")))
-    each = nodes.select("sig", "n", F.explode("keys").alias("key")).repartition("key")
-    order = [F.col("sig"), *[F.xxhash64("sig", F.lit(i)) for i in range(1, HUBS)]]
-    hubs = F.array(*[F.min(F.struct(o.alias("o"), "sig", "n")) for o in order])
-    shared = each.groupBy("key").agg(F.count("*").alias("members"), hubs.alias("hubs")).where("members > 1").withColumn("hubs", F.when(F.col("members") > dense, F.col("hubs")))
-    members = checkpointed(each.join(shared, "key"))
-
-    few = members.where(F.col("members") <= dense)
-    pairs = few.select("key", F.col("sig").alias("u"), "n").join(few.select("key", F.col("sig").alias("v"), F.col("n").alias("m")), "key").where("u < v").where(_fit(similarity)).select("u", "v")
-    crowd = members.where(F.col("members") > dense)
-    star = crowd.select("sig", "n", F.explode("hubs").alias("hub")).where("sig <> hub.sig").withColumn("m", F.col("hub.n")).where(_fit(similarity)).select(F.least("sig", "hub.sig").alias("u"), F.greatest("sig", "hub.sig").alias("v"))
-    edges = verified(checkpointed(pairs.union(star).distinct()), nodes, docs, width, similarity)
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in different components."""
+    for side in ("u", "v"):
+        pairs = pairs.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
+    return pairs.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).drop("c_u", "c_v")
+
+
+def node_components(docs: DataFrame, nodes: DataFrame, width: int, similarity: float, radius: int) -> DataFrame:
+    """node, component: nodes connected by pairs of at least the similarity; a node without such a pair has no row."""
+    shared = shared_keys(docs, width, similarity)
+    pairs = checkpointed(_described(first_candidates(shared), nodes).where(possible(similarity, radius)).select("u", "v", distance().alias("h")))
+    nearest = checkpointed(_nearest(pairs))
+    edges = verified(nearest, nodes, docs, width, similarity)
+    parts = checkpointed(connected_components(edges))
+    rest = checkpointed(_apart(pairs.select("u", "v"), parts).join(nearest, ["u", "v"], "left_anti"))
+    edges = checkpointed(edges.union(verified(rest, nodes, docs, width, similarity)))
     parts = checkpointed(connected_components(edges))
 
-    apart = crowd.join(parts, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", F.coalesce("component", "sig").alias("c"))
-    split = apart.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("key")
-    apart = checkpointed(apart.join(split, "key"))
-    if not apart.isEmpty():
-        other = apart.select("key", F.col("sig").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
-        rest = apart.select("key", F.col("sig").alias("u"), "n", "c").join(other, "key").where("u < v and c <> d").where(_fit(similarity)).select("u", "v").distinct()
-        parts = checkpointed(connected_components(edges.union(verified(checkpointed(rest), nodes, docs, width, similarity))))
-    return prints.drop("n", "keys", "tkey").join(parts, F.col("sig") == F.col("node"), "left").withColumn("c", F.coalesce("component", "sig")).drop("node", "component", "sig")
+    crowd, tried = shared.where("m > 3").select("key", "sig", F.col("a").alias("hub")), None
+    for last in (False, True):
+        placed = crowd.join(parts, F.col("sig") == F.col("node"), "left").select("key", "sig", "hub", F.coalesce("component", "sig").alias("c"))
+        split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+        placed = checkpointed(placed.join(split, "key").join(nodes.select("sig", "n", *_FP), "sig"))
+        if placed.isEmpty():
+            break
+        side = lambda s: placed.where("sig <> hub").select("key", *[F.col(c).alias(new) for c, new in (("sig", s), ("c", f"c_{s}"), *((c, f"{s}_{c}") for c in ("n", *_FP)))])  # noqa: E731, B023
+        met = side("u").join(side("v"), "key").where("u < v AND c_u <> c_v").where(possible(similarity, radius)).select("u", "v", distance().alias("h"))
+        chosen = met.select("u", "v").distinct() if last else _nearest(met)
+        chosen = checkpointed(chosen if tried is None else chosen.join(tried, ["u", "v"], "left_anti"))
+        edges = checkpointed(edges.union(verified(chosen, nodes, docs, width, similarity)))
+        parts, tried = checkpointed(connected_components(edges)), chosen
+    return parts
+
+
+def near_copies(docs: DataFrame, row: Column, *extra: Column, width: int = 5, similarity: float = 0.8, radius: int = 68) -> DataFrame:
+    """row, doc_id, extra columns, c: each row of docs with its component c, the same for rows connected by pairs of at
+    least the similarity. Texts without words are one component."""
+    tkey = F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey")
+    prints = docs.select("doc_id", row.alias("row"), *extra, tkey, sketch_column(F.col("text"), width).alias("p"))
+    prints = stored(prints.select(*[c for c in prints.columns if c != "p"], "p.*"))
+    nodes = stored(prints.groupBy("sig").agg(F.first("n").alias("n"), *[F.first(f).alias(f) for f in _FP], F.min("tkey").alias("tkey")))
+    parts = node_components(docs, nodes, width, similarity, radius)
+    return prints.drop("n", "tkey", *_FP).join(parts, F.col("sig") == F.col("node"), "left").withColumn("c", F.coalesce("component", "sig")).drop("node", "component", "sig")

@@ -19,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.common import checkpointed, space_word_count
+from logloom.llm.common import checkpointed, free_names, space_word_count, stored
 
 WEIGHTS = (5, 2, 1)
+#: The type of the blocks drawn from a document.
+DRAWN = "array<struct<shard:int,place:bigint,pass:int,first_word:bigint,n_words:bigint>>"
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, max_repeat: int = 2) -> DataFrame:
@@ -177,17 +179,36 @@ def mixture(sized: DataFrame, targets: DataFrame, block_words: int = 512, n_shar
     )
 
 
+def drawn_documents(docs: DataFrame, sized: DataFrame, **options) -> DataFrame:
+    """uid, source_size, target, taken, drawn for each row of sized_documents(docs); drawn is empty where nothing is taken."""
+    targets = checkpointed(source_targets(sized))
+    blocks = mixture(sized, targets, **options)
+    block = F.struct("shard", "place", "pass", "first_word", "n_words")
+    taken = blocks.groupBy("uid").agg(F.sum("n_words").alias("taken"), F.array_sort(F.collect_list(block)).alias("drawn"))
+    by_source = targets.withColumnRenamed("source", "s")
+    out = sized.join(by_source, F.col("source").eqNullSafe(F.col("s"))).join(taken, "uid", "left")
+    return out.select("uid", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), F.coalesce("drawn", F.array().cast(DRAWN)).alias("drawn"))
+
+
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken, uid, source for each row of documents: taken sums the mix's blocks of that row.
+    """doc_id, size, source_size, target, taken, drawn for each row of documents: taken sums the words of drawn.
 
-    Null texts have size 0 and give nothing. A source without words has target 0. Null is a source like any other.
+    drawn lists the blocks that the mix takes of that row: shard, place (sorting a shard by it gives its order), pass,
+    first_word and n_words. Null texts have size 0 and give nothing. A source without words has target 0. Null is a
+    source like any other. An empty table gives no rows.
     """
-    sized = sized_documents(docs)
-    targets = checkpointed(source_targets(sized))
-    blocks = checkpointed(mixture(sized, targets, **options))
-    taken = blocks.groupBy("uid").agg(F.sum("n_words").alias("taken"), F.collect_set("shard").alias("shards"))
-    by_source = targets.withColumnRenamed("source", "s")
-    return (
-        sized.join(by_source, F.col("source").eqNullSafe(F.col("s"))).join(taken, "uid", "left")
-        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), F.array_sort(F.coalesce("shards", F.array().cast("array<int>"))).alias("shards"), "uid", "source")
-    )
+    return drawn_documents(docs, sized_documents(docs), **options).drop("uid")
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that the mix takes words from, with size, source_size, target, taken and drawn.
+
+    A row that repeats is a row of its own. Where docs has a column of one of these names, the new one gets a trailing _.
+    """
+    new = ("size", "source_size", "target", "taken", "drawn")
+    uid, *names = free_names(docs.columns, "uid", *new)
+    # The numbers of rows hold for one written copy of docs; without it a retried task could deal them anew.
+    numbered = stored(docs.withColumn(uid, F.monotonically_increasing_id()))
+    sized = numbered.select(F.col(uid).alias("uid"), "doc_id", "source", space_word_count(F.col("text")).alias("size"))
+    drawn = drawn_documents(docs, sized, **options).where("taken > 0").select(F.col("uid").alias(uid), *[F.col(c).alias(n) for c, n in zip(new, names)])
+    return numbered.join(drawn, uid).drop(uid)

@@ -29,7 +29,7 @@ def op3_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logloom.llm.mixing import mix_documents
 
-    return mix_documents(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_documents(load(spark, sf_dir, "documents"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

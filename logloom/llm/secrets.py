@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.common import free_names
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -186,13 +188,18 @@ def scan_secrets(docs: DataFrame, min_log10: float = 10.0) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[secret]", min_log10: float = 10.0) -> DataFrame:
-    """docs with each secret in text replaced by mark; n_chars follows where a text changed."""
+    """docs with each secret in text replaced by mark; n_chars, if there, follows where a text changed.
+
+    Null and empty texts stay as they are. Other columns, whatever their names, are kept.
+    """
 
     @F.pandas_udf("string")
     def redact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(lambda t: redact_text(t, mark, min_log10), na_action="ignore")
 
-    changed = docs.withColumn("redacted", redact("text"))
-    n_chars = F.when(F.col("redacted").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("redacted").cast("long"))
-    return changed.withColumn("n_chars", n_chars).withColumn("text", F.col("redacted")).select(*docs.columns)
+    (new,) = free_names(docs.columns, "redacted")
+    changed = docs.withColumn(new, redact("text"))
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.when(F.col(new).eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length(new).cast("long")))
+    return changed.withColumn("text", F.col(new)).select(*docs.columns)

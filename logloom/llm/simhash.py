@@ -118,7 +118,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ra
     Rows with the same doc_id each keep their own fingerprint. A null doc_id counts only where a component has no other.
     """
     if radius is None:
-        rows = near_copies(docs, F.xxhash64("text"), fingerprint_column(F.col("text"), width).alias("fp"), width=width, similarity=similarity, dense=dense)
+        rows = near_copies(docs, F.xxhash64("text"), fingerprint_column(F.col("text"), width).alias("fp"), width=width, similarity=similarity)
         least = rows.groupBy("c").agg(F.min("doc_id").alias("component_id"))
         return rows.join(least, "c").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     if radius != 2:

@@ -139,15 +139,20 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2000, max_unla
     return ToxicityModel(bias, {w: float(v) for w, v in zip(chosen, weights)})
 
 
-def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from threshold on). Null and empty texts get the score of no words."""
+def score_column(text: Column, model: ToxicityModel) -> Column:
+    """The score of a text, 0 to 1. Null and empty texts get the score of no words."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield model.scores(texts)
 
-    return docs.drop("score", "predicted").withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return score(text)
+
+
+def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
+    """docs with score and predicted (1 from threshold on), which replace columns so named."""
+    return docs.withColumn("score", score_column(F.col("text"), model)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

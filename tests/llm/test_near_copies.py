@@ -49,17 +49,17 @@ def test_copies_of_similarity_08_go(spark, sf_dir):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()) == [0, 2, 3]
 
 
-@pytest.mark.parametrize("dense", [2, 16])
-def test_components_against_all_pairs(spark, dense):
+@pytest.mark.parametrize("words", [8, 40, 160])
+def test_components_against_all_pairs(spark, words):
     r, rows = np.random.default_rng(3), []
-    seeds = [[f"s{s}w{i}" for i in range(int(r.integers(40, 120)))] for s in range(4)]
+    seeds = [[f"s{s}w{i}" for i in range(int(r.integers(words, 3 * words)))] for s in range(4)]
     for i in range(120):
         words = seeds[i % 4]
-        at = {int(x): f"e{r.integers(0, 3)}" for x in r.choice(len(words), size=int(r.integers(0, 5)), replace=False)}
+        at = {int(x): f"e{r.integers(0, 3)}" for x in r.choice(len(words), size=int(r.integers(0, max(2, len(words) // 18))), replace=False)}
         rows.append((i, " ".join(at.get(k, w) for k, w in enumerate(words)), "en"))
     want = by_hand(rows)
     assert 4 < len(set(want.values())) < 120
-    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame(rows, KIND), dense=dense).collect()}
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame(rows, KIND)).collect()}
     assert got == want
 
 

@@ -55,26 +55,54 @@ def test_hot_vector(spark):
     assert [x.vec_id for x in sorted(got, key=lambda x: x["rank"])] == [i for _, i in exact]
 
 
-def test_leaks_against_all_windows(spark, sf_dir, rows):
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    got = {(r.doc_id, r.item_id): r.similarity for r in queries.op2_benchmark_decontamination(spark, sf_dir).collect()}
-    five = lambda w: Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
-    want = {}
-    wanted = [(r.item_id, ALNUM.findall(r.text.lower())) for r in items.collect()]
-    for d in rows[:60]:
-        words = ALNUM.findall((d.text or "").lower())
-        have = set(five(words))
-        for item, w in wanted:
-            target = five(w)
-            if not have & set(target):
+def five(words):
+    return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def best_windows(docs, items):
+    """Similarity of the best item-sized window, those cut by the ends of the text included, of each (document, item) from 0.8 on."""
+    want, items = {}, [(i, ALNUM.findall(t.lower())) for i, t in items]
+    targets = [(i, len(w), five(w)) for i, w in items]
+    for doc, text in docs:
+        words = ALNUM.findall((text or "").lower())
+        have = five(words)
+        for item, n, target in targets:
+            if sum((have & target).values()) < 0.8 * sum(target.values()):
                 continue
-            for i in range(max(1, len(words) - len(w) + 1)):
-                window = five(words[i : i + len(w)])
+            for i in range(1 - n, len(words)):
+                window = five(words[max(0, i) : i + n])
                 s = sum((window & target).values()) / sum((window | target).values())
                 if s >= 0.8:
-                    want[d.doc_id, item] = max(s, want.get((d.doc_id, item), 0))
-    ids = {d.doc_id for d in rows[:60]}
-    assert {k: v for k, v in got.items() if k[0] in ids} == pytest.approx(want)
+                    want[doc, item] = max(s, want.get((doc, item), 0))
+    return want
+
+
+def test_leaks_against_all_windows(spark, sf_dir, rows):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    got = {(r.doc_id, r.item_id): r.similarity for r in queries.op2_benchmark_decontamination(spark, sf_dir).collect()}
+    want = best_windows([(d.doc_id, d.text) for d in rows], items)
+    assert len(want) >= 3 and got == pytest.approx(want)
+
+
+def test_edits_moves_and_insertions_at_every_place(spark):
+    item = [f"word{i}" for i in range(50)]
+    around = lambda w: " ".join(["before"] * 9 + w + ["after"] * 9)
+    texts = [around(item[25:] + item[:25]), around(item[10:] + item[:10]), " ".join(item[4:]), " ".join(item[:-4])]
+    for i in range(50):
+        texts += [around([*item[:i], "changed", *item[i + 1 :]]), around([*item[:i], "more", *item[i:]]), around(item[:i] + item[i + 1 :])]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    want = best_windows(docs, [(7, " ".join(item))])
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    assert len(want) > 140 and {0, 1} <= {d for d, _ in want}
+    assert {(r.doc_id, r.item_id): r.similarity for r in got.collect()} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_index_by_broadcast_and_by_shuffle(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", most)
+    item = " ".join(f"word{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "no such words")], "doc_id long, text string")
+    assert [r.doc_id for r in decontaminate.find_leaks(docs, spark.createDataFrame([(7, item), (8, "other")], "item_id long, text string")).collect()] == [1]
 
 
 def test_edited_passages(spark):
