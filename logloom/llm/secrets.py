@@ -49,10 +49,12 @@ COMMON = (
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 
 _RANK = {w: i + 1 for i, w in reversed([*enumerate(COMMON)])}
-_LONGEST = max(map(len, _RANK))
 _LEET = str.maketrans("430157$@!", "aeoistsai")
-_DATE = re.compile(r"(?:(?:19|20)\d\d(?:[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:19|20)?\d\d)")
+_DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:19|20)?\d\d")
+_DATE_LENGTHS = (4, 6, 7, 8, 9, 10)
 _AT = {c: (r, i) for r, row in enumerate(KEY_ROWS) for i, c in enumerate(row)}
+#: Each part doubles the guesses.
+_PART = math.log10(2)
 
 
 def _next_to(a: str, b: str) -> bool:
@@ -60,42 +62,71 @@ def _next_to(a: str, b: str) -> bool:
     return bool(p and q and p != q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1)
 
 
-def log10_guesses(value: str) -> float:
-    """The least log10 of guesses over all splits of value; each further part doubles the guesses. Linear in its length."""
-    n, low = len(value), value.lower()
-    if len(low) != n:  # a lower-cased form of another length
-        low = value
-    plain = low.translate(_LEET)
+def repeat_cost(length: int) -> float:
+    return math.log10(95 * length) + _PART
+
+
+def walk_cost(length: int) -> float:
+    return math.log10(len(_AT) * length) + 0.3 * (length - 1) + _PART
+
+
+def word_cost(part: str, ranks: dict[str, int]) -> float | None:
+    """What a common word costs, in either case and with signs in place of letters; None if part is none."""
+    low = part.lower()
+    if rank := ranks.get(low):
+        cost = math.log10(rank)
+    elif rank := ranks.get(low.translate(_LEET)):
+        cost = math.log10(rank * 4)
+    else:
+        return None
+    return cost + (math.log10(2) if low != part else 0.0) + _PART
+
+
+def date_cost(part: str) -> float | None:
+    """What a date or a year costs; None if part is none."""
+    if len(part) not in _DATE_LENGTHS or not part[0].isdigit() or not _DATE.fullmatch(part):
+        return None
+    return math.log10(365 * 120 if len(part) > 4 else 120) + _PART
+
+
+def log10_guesses(value: str, ranks: dict[str, int] = _RANK) -> float:
+    """The least log10 of guesses over all splits of value into common words (ranks: word to rank), dates, repeats and
+    keyboard walks of three characters or more, and single characters of any kind.
+
+    Repeats and walks are tried from where one begins, from the place after it (a walk may end with a repeat's first
+    character, or the other way about), and from where a word or a date ends within it: from anywhere else it is never
+    cheaper, as a single character costs more than a longer repeat or walk, and two of them more than one.
+    """
+    n, low = len(value), [c.lower() for c in value]
+    longest = max(map(len, ranks), default=0)
     best = [0.0] + [math.inf] * n
-    ends: dict[int, list[tuple[int, float]]] = {}
-    for m in _DATE.finditer(value):
-        ends.setdefault(m.start(), []).append((m.end(), math.log10(365 * 120 if m.end() - m.start() > 4 else 120)))
-    run = walk = 0  # where the repeat and the walk that reach i began
-    steps = math.log10(2)
+    word_ends = [False] * (n + 1)
+    ahead: dict[int, float] = {}  # the cheapest word or date that ends at a place still ahead
+    runs, walks = [0], [0]
     for i in range(n + 1):
         if i:
+            best[i] = best[i - 1] + 1.0
             if i > 1 and value[i - 1] != value[i - 2]:
-                run = i - 1
+                runs = [i - 1]
             if i > 1 and not _next_to(low[i - 1], low[i - 2]):
-                walk = i - 1
-            for j in {run, max(run, i - 32)}:
-                if i - j >= 3:
-                    best[i] = min(best[i], best[j] + math.log10(95 * (i - j)) + steps)
-            for j in {walk, max(walk, i - 32)}:
-                if i - j >= 3:
-                    best[i] = min(best[i], best[j] + math.log10(len(_AT) * (i - j)) + 0.3 * (i - j - 1) + steps)
-            best[i] = min(best[i], best[i - 1] + 1.0)
-        for j, cost in ends.get(i, ()):
-            best[j] = min(best[j], best[i] + cost + steps)
-        for length in range(3, min(_LONGEST, n - i) + 1):
-            rank = _RANK.get(low[i : i + length])
-            cost = math.log10(rank) if rank else None
-            if cost is None and (rank := _RANK.get(plain[i : i + length])):
-                cost = math.log10(rank * 4)
-            if cost is not None:
-                if low[i : i + length] != value[i : i + length]:
-                    cost += math.log10(2)
-                best[i + length] = min(best[i + length], best[i] + cost + steps)
+                walks = [i - 1]
+            best[i] = min([best[i], *(best[j] + repeat_cost(i - j) for j in runs if i - j >= 3), *(best[j] + walk_cost(i - j) for j in walks if i - j >= 3)])
+            if i in ahead:
+                cost = ahead.pop(i)
+                if cost < best[i]:
+                    best[i] = cost
+                    word_ends[i] = True
+            if i > runs[0] and (word_ends[i] or i == runs[0] + 1):
+                runs.append(i)
+            if i > walks[0] and (word_ends[i] or i == walks[0] + 1):
+                walks.append(i)
+        for length in range(3, min(longest, n - i) + 1):
+            if (cost := word_cost(value[i : i + length], ranks)) is not None:
+                ahead[i + length] = min(ahead.get(i + length, math.inf), best[i] + cost)
+        if i < n and value[i].isdigit():
+            for length in _DATE_LENGTHS:
+                if i + length <= n and (cost := date_cost(value[i : i + length])) is not None:
+                    ahead[i + length] = min(ahead.get(i + length, math.inf), best[i] + cost)
     return best[n]
 
 

@@ -1,5 +1,8 @@
 """Values after credential words that the base patterns miss or hold in part."""
 
+import math
+import random
+
 import pytest
 
 from logloom.llm import secrets
@@ -31,3 +34,36 @@ def test_prose_stays(text):
 
 def test_long_texts_take_linear_time():
     assert secrets.scan_text("token_" * 40_000)["spans"] == ""
+
+
+def every_split(value):
+    """The least cost over all splits, each part tried at every place."""
+    best = [0.0] + [math.inf] * len(value)
+    for i in range(1, len(value) + 1):
+        for j in range(i):
+            part, costs = value[j:i], []
+            if i - j == 1:
+                costs.append(1.0)
+            if i - j >= 3:
+                costs += [secrets.word_cost(part, secrets._RANK), secrets.date_cost(part)]
+                if len(set(part)) == 1:
+                    costs.append(secrets.repeat_cost(i - j))
+                if all(secrets._next_to(a.lower(), b.lower()) for a, b in zip(part, part[1:])):
+                    costs.append(secrets.walk_cost(i - j))
+            best[i] = min([best[i], *(best[j] + c for c in costs if c is not None)])
+    return best[-1]
+
+
+def test_guess_cost_is_the_least_of_all_splits():
+    r = random.Random(5)
+    parts = ["qwerty", "asdf", "pass", "Password", "p@ss", "1999", "2001-12-31", "12/11/2020", "311299", "aaaa", "sssss", "111", "0000", "x", "Z9", "zxc", "dragon", "key", "987", "654321", "20201231", "red", "1.2.20", "ßaa", "İ"]
+    values = ["".join(r.choice(parts) for _ in range(r.randint(1, 6))) for _ in range(2000)]
+    values += ["".join(r.choice("aassdfqwe12203.9/-") for _ in range(r.randint(1, 24))) for _ in range(1000)]
+    for v in values:
+        assert secrets.log10_guesses(v) == pytest.approx(every_split(v), abs=1e-9), v
+
+
+def test_values_of_one_kind_of_character_count():
+    spans = lambda text: secrets.scan_text(text)["spans"]
+    assert spans("passphrase: correct-horse-battery-staple") == "guess:12:40"
+    assert spans("pwd = XkjWqPzLmRtVbN") == "guess:6:20"
