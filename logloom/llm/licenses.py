@@ -1,10 +1,10 @@
 """License scan by a positional index of rare template words, with DataFrame functions only.
 
 Every text is split once, and only words of the licence vocabulary are kept, with their positions. The document
-frequency of each such word over all documents gives its IDF. A file's highest-IDF licence words look up the postings
-(template, position) of the templates; words of one template that agree on where it would begin vote for that
-alignment. An alignment with enough votes is a licence if the template's mandatory key phrases all stand at their
-relative positions. Besides, base phrases label a text wherever their words stand consecutively.
+frequency of each such word over all documents gives its IDF. Each template is indexed by its highest-IDF words, with
+their positions. A file's occurrences of them look up the postings: those that agree, within a few words, on where the
+template would begin vote for that alignment, and one with enough votes is a licence if every word of the template's
+mandatory key phrases stands at its place relative to it. Besides, base phrases label a text wherever they stand.
 """
 
 from __future__ import annotations
@@ -44,6 +44,38 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
         ("subject to the terms of the mozilla public license",),
     ),
+    "lgpl": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+        ("under the terms of the gnu lesser general public license",),
+    ),
+    "agpl": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        ("under the terms of the gnu affero general public license",),
+    ),
+    "epl": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+        ("made available under the terms of the eclipse public license",),
+    ),
+    "boost": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
+        ("permission is hereby granted free of charge", "to use reproduce display distribute execute and transmit the software"),
+    ),
+    "zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+        ("in no event will the authors be held liable for any damages", "to alter it and redistribute it freely"),
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+        ("free and unencumbered software released into the public domain",),
+    ),
+    "cc-by": (
+        "This work is licensed under a Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0 or send a letter to Creative Commons",
+        ("licensed under a creative commons attribution 4 0 international license",),
+    ),
+    "cc0": (
+        "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work",
+        ("waived all copyright and related or neighboring rights to this work",),
+    ),
 }
 #: Words too common to index.
 STOP_WORDS = frozenset("a an and any are as at be by for if in is it its may not of on one or that the this to was with you can your all".split())
@@ -54,68 +86,77 @@ def words_of(text: str) -> list[str]:
 
 
 def template_tables(templates=TEMPLATES) -> tuple[list, list]:
-    """Postings (template, word, at) of words worth indexing, and mandatory ones (template, word, at) of the key phrases."""
+    """Postings (template, word, t_at) of words worth indexing, and the mandatory phrases (template, words, t_at)."""
     postings, mandatory = [], []
     for name, (text, phrases) in templates.items():
         words = words_of(text)
         postings += [(name, w, i) for i, w in enumerate(words) if w not in STOP_WORDS]
         for phrase in phrases:
             parts = words_of(phrase)
-            at = next(i for i in range(len(words)) if words[i : i + len(parts)] == parts)
-            mandatory += [(name, w, at + k) for k, w in enumerate(parts) if w not in STOP_WORDS]
-    return postings, sorted({*mandatory})
+            mandatory.append((name, parts, next(i for i in range(len(words)) if words[i : i + len(parts)] == parts)))
+    return postings, mandatory
 
 
-def _places(phrase: str) -> Column:
-    """Where a phrase's words stand consecutively, from the columns words and hits (struct of word and at)."""
-    first, *rest = phrase.split()
+def _places(parts: list[str]) -> Column:
+    """Where words stand consecutively, from the columns words and hits (struct of word and at); looked for by their longest kept one."""
+    lead = max((k for k, w in enumerate(parts) if w not in STOP_WORDS), key=lambda k: len(parts[k]))
 
     def fits(h: Column) -> Column:
-        fit = h["word"] == first
-        for k, w in enumerate(rest, 1):
-            fit = fit & F.coalesce(F.get("words", h["at"] + k) == w, F.lit(False))
+        fit = (h["word"] == parts[lead]) & (h["at"] >= lead)
+        for k, w in enumerate(parts):
+            if k != lead:
+                fit = fit & F.coalesce(F.get("words", h["at"] + (k - lead)) == w, F.lit(False))
         return fit
 
-    return F.transform(F.filter("hits", fits), lambda h: h["at"].cast("long"))
+    return F.transform(F.filter("hits", fits), lambda h: h["at"].cast("long") - lead)
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE_PHRASES, rare_words: int = 12, min_votes: int = 4) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE_PHRASES, rare_words: int = 12, min_votes: int = 4, slack: int = 8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, found, a row for each row of docs.
 
     n_base counts the places of all base phrases; first_word and last_word are the smallest and largest start of one,
-    from 0, else null. labels joins the base labels and those of aligned templates. found lists the alignments (label,
-    begins, votes). score is 1 with a base label, else the share of the looked-up words that agree on the best verified
-    alignment, else 0. Null and empty texts have no words and no labels.
+    from 0, else null. labels joins the base labels and those of aligned templates, all that a file holds. found lists
+    the alignments (label, begins, votes). score is 1 with a base label, else the share of a template's `rare_words`
+    indexed words that agree on its best verified alignment, else 0. Votes agree if no two neighbouring ones are more than
+    `slack` words apart, so that a few inserted or dropped words do no harm. Null and empty texts have no words and no
+    labels; a text is looked at whole, whatever its length; repeated rows and doc_ids are rows of their own; an empty
+    table gives no rows. Columns but doc_id and text are not looked at.
     """
     spark = docs.sparkSession
     postings, mandatory = template_tables(templates)
-    vocabulary = sorted({w for _, w, _ in postings} | {w for phrase, _ in base for w in phrase.split()})
+    vocabulary = sorted({w for _, w, _ in postings} | {w for _, parts, _ in mandatory for w in parts if w not in STOP_WORDS} | {w for phrase, _ in base for w in phrase.split()})
     words = docs.select("doc_id", alnum_words(F.col("text")).alias("words")).withColumn("n_words", F.size("words").cast("long"))
     at = F.filter(F.sequence(F.lit(0), F.col("n_words").cast("int") - 1), lambda i: F.get("words", i).isin(vocabulary))
     at = F.when(F.col("n_words") > 0, at).otherwise(F.array().cast("array<int>"))
     hits = words.withColumn("hits", F.transform(at, lambda i: F.struct(F.get("words", i).alias("word"), i.alias("at"))))
-    hits = hits.withColumns({f"at_{label}": _places(phrase) for phrase, label in base})
+    hits = hits.withColumns({f"at_{label}": _places(phrase.split()) for phrase, label in base})
+    mark = lambda n: lambda x: F.struct(F.lit(n).alias("phrase"), x.alias("at"))
+    placed = F.concat(*[F.transform(_places(parts), mark(n)) for n, (_, parts, _) in enumerate(mandatory)])
+    hits = hits.withColumn("phrases", F.when(F.size("hits") >= min_votes, placed).otherwise(F.array().cast("array<struct<phrase:int,at:bigint>>")))
     seen = checkpointed(hits.drop("words").withColumn("uid", F.monotonically_increasing_id()))
 
     # One row for each word of the fixed vocabulary at most: the statistics are small however many documents there are.
     n_docs = seen.count()
     each = seen.select("uid", F.explode("hits").alias("h")).select("uid", "h.word", "h.at")
-    idf = each.distinct().select("uid", "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
-    idf = F.broadcast(idf.select("word", F.log((n_docs + 1) / (F.col("df") + 1)).alias("idf")))
-    indexed = spark.createDataFrame(postings, "template string, word string, t_at int")
-    known = F.broadcast(indexed.select("word").distinct())
-    rarest = Window.partitionBy("uid").orderBy(F.col("idf").desc(), "word")
-    top = each.select("uid", "word").distinct().join(known, "word", "left_semi").join(idf, "word").withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= rare_words).select("uid", "word")
-    looked = top.groupBy("uid").agg(F.count("*").alias("looked"))
-    votes = each.join(top, ["uid", "word"]).join(F.broadcast(indexed), "word").groupBy("uid", "template", (F.col("at") - F.col("t_at")).alias("begins")).agg(F.count_distinct("word").alias("votes"))
-    cast = votes.where(F.col("votes") >= min_votes)
-    needed = spark.createDataFrame(mandatory, "template string, word string, t_at int")
+    df = each.select("uid", "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
+    indexed = F.broadcast(spark.createDataFrame(postings, "template string, word string, t_at int"))
+    rarity = indexed.select("template", "word").distinct().join(df, "word", "left").withColumn("idf", F.log((n_docs + 1) / (F.coalesce("df", F.lit(0)) + 1)))
+    rank = F.row_number().over(Window.partitionBy("template").orderBy(F.col("idf").desc(), "word"))
+    index = checkpointed(rarity.withColumn("rank", rank).where(F.col("rank") <= rare_words).join(indexed, ["template", "word"]).select("template", "word", "t_at"))
+    looked = F.broadcast(index.groupBy("template").agg(F.count_distinct("word").alias("looked")))
+
+    begun = each.join(F.broadcast(index), "word").select("uid", "template", "word", (F.col("at") - F.col("t_at")).alias("begins"))
+    in_order = Window.partitionBy("uid", "template").orderBy("begins", "word")
+    opens = F.when(F.col("begins") - F.lag("begins").over(in_order) <= slack, 0).otherwise(1)
+    runs = begun.withColumn("opens", opens).withColumn("run", F.sum("opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    cast = runs.groupBy("uid", "template", "run").agg(F.count_distinct("word").alias("votes"), F.min("begins").alias("begins"), F.max("begins").alias("ends")).where(F.col("votes") >= min_votes)
+    needed = F.broadcast(spark.createDataFrame([(n, name, at) for n, (name, _, at) in enumerate(mandatory)], "phrase int, template string, p_at int"))
     n_needed = F.broadcast(needed.groupBy("template").agg(F.count("*").alias("needed")))
-    wanted = cast.join(F.broadcast(needed), "template").withColumn("at", F.col("begins") + F.col("t_at"))
-    met = wanted.join(each, ["uid", "word", "at"]).groupBy("uid", "template", "begins", "votes").agg(F.count("*").alias("met"))
-    sure = met.join(n_needed, "template").where("met = needed").join(looked, "uid")
-    share = F.col("votes") / F.col("looked")
-    found = sure.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct(F.col("template").alias("label"), "begins", "votes"))).alias("found"), F.max(share).alias("share"))
+    stand = seen.select("uid", F.explode("phrases").alias("p")).select("uid", "p.phrase", F.col("p.at").alias("place")).join(needed, "phrase")
+    met = cast.join(stand, ["uid", "template"]).where((F.col("place") - F.col("p_at")).between(F.col("begins") - slack, F.col("ends") + slack))
+    met = met.groupBy("uid", "template", "begins", "votes").agg(F.count_distinct("phrase").alias("met"))
+    sure = met.join(n_needed, "template").where("met = needed").join(looked, "template")
+    found = sure.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct(F.col("template").alias("label"), "begins", "votes"))).alias("found"), F.max(F.col("votes") / F.col("looked")).alias("share"))
 
     starts = F.concat(*[F.col(f"at_{label}") for _, label in base])
     named = F.filter(F.array(*[F.when(F.size(f"at_{label}") > 0, F.lit(label)) for _, label in base]), lambda x: x.isNotNull())
