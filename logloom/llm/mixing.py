@@ -180,18 +180,18 @@ def mixture(sized: DataFrame, targets: DataFrame, block_words: int = 512, n_shar
 
 
 def drawn_documents(docs: DataFrame, sized: DataFrame, **options) -> DataFrame:
-    """uid, source_size, target, taken, drawn for each row of sized_documents(docs); drawn is empty where nothing is taken."""
+    """uid, doc_id, source, size, source_size, target, taken, drawn for each row of sized_documents(docs); drawn is empty where nothing is taken."""
     targets = checkpointed(source_targets(sized))
     blocks = mixture(sized, targets, **options)
     block = F.struct("shard", "place", "pass", "first_word", "n_words")
     taken = blocks.groupBy("uid").agg(F.sum("n_words").alias("taken"), F.array_sort(F.collect_list(block)).alias("drawn"))
     by_source = targets.withColumnRenamed("source", "s")
     out = sized.join(by_source, F.col("source").eqNullSafe(F.col("s"))).join(taken, "uid", "left")
-    return out.select("uid", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), F.coalesce("drawn", F.array().cast(DRAWN)).alias("drawn"))
+    return out.select("uid", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), F.coalesce("drawn", F.array().cast(DRAWN)).alias("drawn"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken, drawn for each row of documents: taken sums the words of drawn.
+    """doc_id, source, size, source_size, target, taken, drawn for each row of documents: taken sums the words of drawn.
 
     drawn lists the blocks that the mix takes of that row: shard, place (sorting a shard by it gives its order), pass,
     first_word and n_words. Null texts have size 0 and give nothing. A source without words has target 0. Null is a

@@ -99,8 +99,9 @@ def links(fps: DataFrame, dense: int = 16) -> DataFrame:
     diff = F.col("u").bitwiseXOR(F.col("v"))
     start = F.floor(F.col("part") / 2).cast("int") * SEGMENT_BITS
     ring = F.expr("shiftleft(x, s) | shiftrightunsigned(x, 64 - s)")
-    near = a.join(b, ["part", "key"]).where("u < v").withColumn("x", diff).where(F.bit_count("x") <= 2).withColumn("s", start)
-    near = near.withColumn("ring", F.when(F.col("s") == 0, F.col("x")).otherwise(ring)).where(F.bit_count(F.shiftrightunsigned("ring", 8)) <= 1)
+    # The chain first: its first seven segments may differ in one bit. Then the full Hamming check.
+    near = a.join(b, ["part", "key"]).where("u < v").withColumn("x", diff).withColumn("s", start)
+    near = near.withColumn("ring", F.when(F.col("s") == 0, F.col("x")).otherwise(ring)).where(F.bit_count(F.shiftrightunsigned("ring", 8)) <= 1).where(F.bit_count("x") <= 2)
     crowded = members.where(F.col("n") > dense).select("fp").distinct()
     ball = F.concat(F.array(F.col("fp")), F.array(*[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")) for i in range(64)]))
     around = crowded.select("fp", F.explode(ball).alias("c"))

@@ -184,6 +184,16 @@ def test_licenses(spark, sf_dir, rows):
         assert r.base_labels == ",".join(sorted(k for k, v in places.items() if v)) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
 
 
+def test_licences_in_one_file_and_broken_ones(spark):
+    text = {k: t for k, (t, _) in licenses.TEMPLATES.items()}
+    broken = text["mit"].replace("free of charge", "free if charge")
+    longer = text["bsd"].replace("modification, are", "modification, are").replace("this list of", "this complete list of")
+    rare = "sublicense merge publish redistribution disclaimer lesser affero eclipse mozilla unencumbered " * 30
+    rows = [(1, "\n\n".join(text.values())), (2, broken), (3, f"{rare} words {text['isc']} {rare}"), (4, longer), (5, "x " * 50_000 + text["zlib"])]
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == {1: set(text), 2: {""}, 3: {"isc"}, 4: {"bsd"}, 5: {"zlib"}}
+
+
 def test_whole_licence_texts(spark):
     docs = spark.createDataFrame([(n, f"Copyright someone\n\n{text}\n\nint main() {{}}") for n, (text, _) in enumerate(licenses.TEMPLATES.values())] + [(99, "Permission is granted to copy software without fee, license text")], "doc_id int, text string")
     got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
