@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from logloom.schema import FACILITIES, SEVERITIES
 
 _PRI = r"^<(\d{1,3})>"
 _RFC5424 = r"(?s)^(?:<\d{1,3}>)?[1-9]\d{0,2} (\S+) (\S+) (\S+) (\S+) (\S+) (-|(?:\[(?:[^\]\\]|\\.)*\])+) ?(.*)$"
-_RFC3164 = r"(?s)^(?:<\d{1,3}>)?\s*([A-Z][a-z]{2} [ \d]\d \d{2}:\d{2}:\d{2}|\d{4}-\d{2}-\d{2}T\S+) (\S+) (?:([^\s:\[]+)(?:\[([^\]]*)\])?: ?)?(.*)$"
+_RFC3164 = r"(?s)^(?:<\d{1,3}>)?\s*([A-Z][a-z]{2} [ \d]\d \d{2}:\d{2}:\d{2}|\d{4}-\d{2}-\d{2}T\S+) (\S+) (?:([^\s:\[]+)(?:\[([^\]\n]*)\])?: ?)?(.*)$"
 
 
 def _named(names, number: Column) -> Column:
@@ -47,12 +46,11 @@ def truncate_utf8(text: Column, limit: int) -> Column:
     """The longest beginning of text of at most `limit` bytes that ends between characters."""
     if limit < 1:
         return F.when(text.isNotNull(), F.lit(""))
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t.encode()[:limit].decode(errors="ignore"), na_action="ignore")
-
-    return F.when(F.octet_length(text) <= limit, text).otherwise(cut(text))
+    data = text.cast("binary")
+    inside = lambda at: F.conv(F.hex(F.substring(data, at, 1)), 16, 10).cast("int").between(0x80, 0xBF)  # noqa: E731  within a character
+    # If the first byte left out goes on with a character, that character's beginning goes as well.
+    end = F.when(~inside(limit + 1), limit).when(~inside(limit), limit - 1).when(~inside(limit - 1), limit - 2).otherwise(limit - 3)
+    return F.when(F.octet_length(text) <= limit, text).otherwise(F.substring(data, F.lit(1), end).cast("string"))
 
 
 def source_addr_ip(addr: Column) -> Column:
@@ -69,49 +67,73 @@ def _nil(text: Column) -> Column:
     return F.nullif(F.nullif(text, F.lit("-")), F.lit(""))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with value evaluated once a row however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _header(raw: Column) -> Column:
+    """Time, host, app, process id and message of a line, as an array; of one in neither format only the message."""
+    # No field but the last can hold a line break, so one match of a pattern gives all of them.
+    fields = lambda pattern, groups: F.split(F.regexp_replace(raw, pattern, "\n".join(f"${g}" for g in groups)), "\n", 5)
+    none = F.lit(None).cast("string")
+    return F.when(raw.rlike(_RFC5424), fields(_RFC5424, (1, 2, 3, 4, 7))).when(raw.rlike(_RFC3164), fields(_RFC3164, (1, 2, 3, 4, 5))).otherwise(F.array(none, none, none, none, F.regexp_replace(raw, _PRI, "")))
+
+
+def _time(stamp: Column, received_at: Column) -> Column:
+    """The instant of a header's time; null if it is none."""
+    dated = lambda year: F.try_to_timestamp(F.concat(year.cast("string"), F.lit(" "), F.regexp_replace(stamp, " +", " ")), F.lit("yyyy MMM d HH:mm:ss"))
+    ahead = lambda this: F.when(this > received_at + F.expr("INTERVAL 1 DAY"), F.coalesce(dated(F.year(received_at) - 1), this)).otherwise(this)
+    return F.when(stamp.rlike("^[A-Z]"), bound(dated(F.year(received_at)), ahead)).otherwise(instant(stamp))
+
+
+#: Byte limits of what a line with CEF in it may set.
+CEF_LIMITS = {"hostname": 255, "app_name": 128, "message": 8192}
+
+
+def _cef_fields(raw: Column) -> Column:
+    """hostname, app_name and message of a CEF line, from its header and extension; null if the header is not whole."""
+
+    def read(parts: Column) -> Column:
+        ext = F.get(parts, F.lit(7))
+        host = F.coalesce(cef_ext_value(ext, "UNIFIdeviceName"), _nil(F.get(parts, F.lit(2))))
+        message = F.coalesce(cef_ext_value(ext, "msg"), F.array_join(parts, "|"))
+        return F.when(F.size(parts) >= 8, F.struct(host.alias("hostname"), F.get(parts, F.lit(5)).alias("app_name"), message.alias("message")))
+
+    return bound(F.split(F.regexp_extract(raw, r"(?s)(CEF:.*)$", 1), r"[|]", 8), read)
+
+
 def parse_syslog(raw: Column, source_ip: Column, received_at: Column) -> Column:
     """A struct of the log fields of a syslog line.
 
     RFC 5424 lines, else RFC 3164 ones (also with an ISO time), else the line is the message of host unknown. A missing
     or impossible PRI gives severity info and no facility; a missing time the receipt time. A time without a year gets
     that of receipt, or the one before if it would lie over a day ahead. A line whose host looks like a time and that holds
-    CEF: is read as CEF: host, app and message then come from its header and extension.
+    CEF: is read as CEF: host, app and message come from its header and extension if those are whole, else from the line
+    as it stands, and are cut to their byte limits in either case.
     """
-    new, old = raw.rlike(_RFC5424), raw.rlike(_RFC3164)
-    n = lambda i: F.regexp_extract(raw, _RFC5424, i)
-    o = lambda i: F.regexp_extract(raw, _RFC3164, i)
-    pick = lambda a, b, c=F.lit(None).cast("string"): F.when(new, a).when(old, b).otherwise(c)
-    pri = F.nullif(F.regexp_extract(raw, _PRI, 1), F.lit("")).cast("int")
-    stamp = pick(n(1), o(1))
-    dated = lambda year: F.try_to_timestamp(F.concat(year.cast("string"), F.lit(" "), F.regexp_replace(stamp, " +", " ")), F.lit("yyyy MMM d HH:mm:ss"))
-    this = dated(F.year(received_at))
-    yearless = F.when(this > received_at + F.expr("INTERVAL 1 DAY"), F.coalesce(dated(F.year(received_at) - 1), this)).otherwise(this)
-    ts = F.coalesce(F.when(stamp.rlike(RFC3339), instant(stamp)).when(stamp.rlike("^[A-Z]"), yearless), received_at)
-    host, app, pid = _nil(pick(n(2), o(2))), _nil(pick(n(3), o(3))), _nil(pick(n(4), o(4)))
-    rest = F.regexp_replace(raw, _PRI, "")
-    message = pick(n(7), o(5), rest)
-    is_cef = (looks_like_timestamp(host) | looks_like_timestamp(rest)) & raw.contains("CEF:")
-    cef = F.regexp_extract(raw, r"(?s)(CEF:.*)$", 1)
-    parts = F.split(cef, r"[|]", 8)
-    good = is_cef & (F.size(parts) >= 8)
-    ext = F.get(parts, F.lit(7))
-    text_host = F.coalesce(cef_ext_value(ext, "UNIFIdeviceName"), _nil(F.get(parts, F.lit(2))))
-    return F.struct(
-        utc_text(ts).alias("timestamp"),
-        F.coalesce(F.when(good, text_host).otherwise(host), F.lit("unknown")).alias("hostname"),
-        facility_of(pri).alias("facility"),
-        F.coalesce(severity_of(pri), F.lit("info")).alias("severity"),
-        F.when(good, F.get(parts, F.lit(5))).otherwise(app).alias("app_name"),
-        F.when(~good | good.isNull(), pid).alias("process_id"),
-        F.when(good, F.coalesce(cef_ext_value(ext, "msg"), cef)).otherwise(message).alias("message"),
-        raw.alias("raw"),
-        source_ip.alias("source_ip"),
-        F.coalesce(good, F.lit(False)).alias("is_cef"),
-    )
-
-
-#: Byte limits of what a CEF line may set.
-CEF_LIMITS = {"hostname": 255, "app_name": 128, "message": 8192}
+
+    def fields(head: Column) -> Column:
+        host, app, message = _nil(head[1]), _nil(head[2]), head[4]
+        is_cef = raw.contains("CEF:") & (looks_like_timestamp(host) | looks_like_timestamp(F.regexp_replace(raw, _PRI, "")))
+        return F.struct(head.alias("head"), host.alias("hostname"), app.alias("app_name"), message.alias("message"), F.when(is_cef, F.struct(_cef_fields(raw).alias("found"))).alias("cef"))
+
+    def render(line: Column) -> Column:
+        pri = F.nullif(F.regexp_extract(raw, _PRI, 1), F.lit("")).cast("int")
+        cut = lambda c: F.when(line["cef"].isNull(), line[c]).otherwise(bound(F.coalesce(line["cef"]["found"][c], line[c]), lambda x: truncate_utf8(x, CEF_LIMITS[c])))
+        return F.struct(
+            utc_text(F.coalesce(_time(line["head"][0], received_at), received_at)).alias("timestamp"),
+            F.coalesce(cut("hostname"), F.lit("unknown")).alias("hostname"),
+            facility_of(pri).alias("facility"),
+            F.coalesce(severity_of(pri), F.lit("info")).alias("severity"),
+            cut("app_name").alias("app_name"),
+            _nil(line["head"][3]).alias("process_id"),
+            cut("message").alias("message"),
+            raw.alias("raw"),
+            source_ip.alias("source_ip"),
+        )
+
+    return bound(bound(_header(raw), fields), render)
 
 
 def container_app(project: Column, service: Column, name: Column) -> Column:
@@ -129,19 +151,25 @@ def parse_container_line(host: Column, container_id: Column, name: Column, proje
     The time before the first space is kept verbatim if it is RFC 3339, else the line is all message and the time that of receipt.
     """
     severity = F.when(stream == "stdout", "info").when(stream == "stderr", "warning")
-    text = F.regexp_replace(line, r"[\r\n]+$", "")
-    head = F.regexp_extract(text, r"(?s)^(\S+) ", 1)
-    timed = head.rlike(RFC3339) & instant(head).isNotNull()
-    message = F.when(timed, F.regexp_replace(text, r"(?s)^\S+ ", "")).otherwise(text)
-    fields = F.struct(
-        F.when(timed, head).otherwise(utc_text(received_at)).alias("timestamp"),
-        host.alias("hostname"),
-        F.lit("local0").alias("facility"),
-        severity.alias("severity"),
-        container_app(project, service, name).alias("app_name"),
-        F.left(container_id, F.lit(12)).alias("process_id"),
-        message.alias("message"),
-        line.alias("raw"),
-        F.concat(F.lit("docker://"), host, F.lit("/"), container_id, F.lit("/"), stream).alias("source_ip"),
-    )
-    return F.when(severity.isNotNull() & (message != ""), fields)
+
+    def fields(text: Column) -> Column:
+        # The part before the first space if that is a time, else null.
+        head = F.regexp_extract(text, r"(?s)^(\S+) ", 1)
+        return bound(F.struct(text.alias("text"), F.when(instant(head).isNotNull(), head).alias("head")), render)
+
+    def render(parts: Column) -> Column:
+        message = F.when(parts["head"].isNull(), parts["text"]).otherwise(F.regexp_replace(parts["text"], r"(?s)^\S+ ", ""))
+        return F.struct(
+            F.coalesce(parts["head"], utc_text(received_at)).alias("timestamp"),
+            host.alias("hostname"),
+            F.lit("local0").alias("facility"),
+            severity.alias("severity"),
+            container_app(project, service, name).alias("app_name"),
+            F.left(container_id, F.lit(12)).alias("process_id"),
+            message.alias("message"),
+            line.alias("raw"),
+            F.concat(F.lit("docker://"), host, F.lit("/"), container_id, F.lit("/"), stream).alias("source_ip"),
+        )
+
+    found = bound(F.regexp_replace(line, r"[\r\n]+$", ""), fields)
+    return F.when(severity.isNotNull(), bound(found, lambda x: F.when(x["message"] != "", x)))

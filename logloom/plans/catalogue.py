@@ -200,11 +200,11 @@ def parse_rfc3164(spark, sf_dir):
     return _parsed(_lines(spark, sf_dir), raw)
 
 
-@query("SELECT id, concat('The ', hostname) AS hostname, facility, severity, concat('name ', event_type) AS app_name, message FROM logs")
+@query("SELECT id, concat('The ', hostname) AS hostname, facility, severity, concat('name ', event_type) AS app_name, NULL::VARCHAR AS process_id, message FROM logs")
 def parse_cef(spark, sf_dir):
     ext = F.concat(F.lit("src=10.0.0.1 UNIFIdeviceName=The "), F.col("hostname"), F.lit(" name=x msg="), F.col("message"))
     raw = F.concat(F.lit("<"), F.col("pri").cast("string"), F.lit(">Jan  5 10:00:00 2024-01-05T10:00:00.000Z CEF:0|Vendor|Box OS|9.1|100|name "), F.col("event_type"), F.lit("|3|"), ext)
-    return _parsed(_lines(spark, sf_dir), raw).drop("timestamp", "process_id")
+    return _parsed(_lines(spark, sf_dir), raw).drop("timestamp")
 
 
 def _container_lines(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from logloom.functions.parse import CEF_LIMITS, parse_container_line, parse_syslog, truncate_utf8
+from logloom.functions.parse import parse_container_line, parse_syslog
 from logloom.functions.timeutil import nanos
 from logloom.operators.aggregates import after_checkpoint, ingest_summary
 from logloom.streaming.store import LogStore
@@ -26,10 +26,8 @@ def read_containers(spark: SparkSession, folder: str, max_files: int = 1000) ->
 
 
 def parsed_syslog(lines: DataFrame) -> DataFrame:
-    """Log fields of lines (value, source_ip, received_at); what a CEF line sets is cut to its byte limits."""
-    rows = lines.select(parse_syslog(F.col("value"), F.col("source_ip"), F.col("received_at")).alias("p"), "received_at").select("p.*", "received_at")
-    cut = {c: F.when(F.col("is_cef"), truncate_utf8(F.col(c), n)).otherwise(F.col(c)) for c, n in CEF_LIMITS.items()}
-    return rows.withColumns(cut).drop("is_cef")
+    """Log fields of lines (value, source_ip, received_at)."""
+    return lines.select(parse_syslog(F.col("value"), F.col("source_ip"), F.col("received_at")).alias("p"), "received_at").select("p.*", "received_at")
 
 
 def parsed_containers(lines: DataFrame) -> DataFrame:

@@ -82,3 +82,21 @@ def test_request_times():
     for bad in ("2026-01-01", "2026-01-01T00:00:00", "x", "2026-13-01T00:00:00Z"):
         with pytest.raises(InvalidInput):
             timeutil.parse_rfc3339(bad, "from")
+
+
+def test_cef_lines_keep_their_process_id_and_are_cut_if_malformed(spark):
+    whole = "<6>1 2024-01-05T10:00:00Z 2024-01-05T10:00:00Z app 77 - - CEF:0|V|Box|9|1|" + "é" * 100 + "|3|msg=m"
+    few = "<6>1 2024-01-05T10:00:00Z 2024-01-05T10:00:00Z " + "a" * 200 + " 78 - - CEF:0|" + "x" * 9000
+    plain = "<6>1 2024-01-05T10:00:00Z host " + "a" * 200 + " 79 - - " + "x" * 9000
+    a, b, c = parsed(spark, whole, few, plain)
+    assert (a.process_id, a.hostname, a.app_name, a.message) == ("77", "Box", "é" * 64, "m")
+    assert (b.process_id, b.hostname, len(b.app_name), len(b.message)) == ("78", "2024-01-05T10:00:00Z", 128, 8192)
+    assert (c.process_id, len(c.app_name), len(c.message)) == ("79", 200, 9000)
+
+
+@pytest.mark.parametrize("limit", range(1, 12))
+def test_truncation_between_characters(spark, limit):
+    texts = ["aé€😀z", "😀😀", "€a€", "plain ascii", "", None, "éééééé"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.cut for r in df.select("i", parse.truncate_utf8(F.col("t"), limit).alias("cut")).orderBy("i").collect()]
+    assert got == [None if t is None else t.encode()[:limit].decode(errors="ignore") for t in texts]
