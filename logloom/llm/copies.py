@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import checkpointed, stored
 from logloom.llm.components import connected_components
-from logloom.llm.tokens import batches, mix, run_hashes, word_hashes
+from logloom.llm.tokens import mix, run_hashes, word_hashes
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _REPEAT = np.uint64(0x9E3779B97F4A7C15)
@@ -43,11 +43,24 @@ PARTS = 4
 _FP = [f"f{i}" for i in range(PARTS)]
 
 
+def _pieces(texts, most: int = 500_000) -> Iterator[list[bytes]]:
+    """texts as lower-cased bytes, in runs of about `most` of them; a longer text is a run of its own."""
+    held, size = [], 0
+    for t in texts:
+        data = (t or "").encode("utf-8", "surrogatepass").translate(_LOWER)
+        if held and size + len(data) > most:
+            yield held
+            held, size = [], 0
+        held.append(data)
+        size += len(data)
+    if held:
+        yield held
+
+
 def occurrences(texts, width: int) -> Iterator[np.ndarray]:
     """The sorted hashes (uint64, all different) of each text's shingle occurrences; a shorter text is one shingle."""
-    data = [(t or "").encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
-    for first, last in batches(data):
-        words, bounds = word_hashes(data[first:last])
+    for piece in _pieces(texts):
+        words, bounds = word_hashes(piece)
         for a, b in zip(bounds, bounds[1:]):
             if a == b:
                 yield np.zeros(0, np.uint64)
@@ -84,7 +97,7 @@ def sketch_column(text: Column, width: int) -> Column:
     @F.pandas_udf("n int, sig long, " + ", ".join(f"{f} long" for f in _FP))
     def sketches(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
-            rows = [(len(h), signature(h), *wide_simhash(h)) for h in occurrences(texts.tolist(), width)]
+            rows = [(len(h), signature(h), *wide_simhash(h)) for h in occurrences(texts, width)]
             yield pd.DataFrame(rows, columns=["n", "sig", *_FP]).astype({"n": np.int32} | {c: np.int64 for c in ("sig", *_FP)})
 
     return sketches(text)
@@ -98,7 +111,7 @@ def prefix_column(text: Column, width: int, similarity: float, common) -> Column
         known, counts = common.value
         for texts in parts:
             sigs, keys, seen = [], [], set()
-            for h in occurrences(texts.tolist(), width):
+            for h in occurrences(texts, width):
                 sigs.append(signature(h))
                 if sigs[-1] in seen:
                     keys.append(np.zeros(0, np.int64))
@@ -117,7 +130,7 @@ def occurrence_column(text: Column, width: int) -> Column:
     @F.pandas_udf("array<long>")
     def hashes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            yield pd.Series([h.view(np.int64) for h in occurrences(texts.tolist(), width)], dtype=object)
+            yield pd.Series([h.view(np.int64) for h in occurrences(texts, width)], dtype=object)
 
     return hashes(text)
 

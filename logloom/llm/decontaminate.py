@@ -17,6 +17,8 @@ nearly every pair agrees on one of 25: they cannot find the pairs, which is why
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,17 +53,23 @@ def _occurrences(hashes: str) -> Column:
 
 
 def simhash(hashes: str) -> Column:
-    return F.expr(f"aggregate(sequence(0, 63), 0L, (acc, b) -> acc | if(2 * aggregate({hashes}, 0, (a, h) -> a + cast(shiftright(h, b) & 1L as int)) > size({hashes}), shiftleft(1L, b), 0L))")
+    """64 bits, each set if it is set in over half the hashes. Four bits are counted at a time, in 16 bits each (up to 65535 hashes)."""
+    four = f"aggregate({hashes}, 0L, (a, h) -> a + (shiftright(h, b) & 281479271743489L))"
+    bits = " | ".join(f"if((shiftrightunsigned(n, {k}) & 65535L) * 2 > size({hashes}), shiftleft(1L, b + {k}), 0L)" for k in (0, 16, 32, 48))
+    fast = f"aggregate(sequence(0, 15), 0L, (acc, b) -> acc | transform(array({four}), n -> {bits})[0])"
+    slow = f"aggregate(sequence(0, 63), 0L, (acc, b) -> acc | if(2 * aggregate({hashes}, 0, (a, h) -> a + cast(shiftright(h, b) & 1L as int)) > size({hashes}), shiftleft(1L, b), 0L))"
+    return F.expr(f"if(size({hashes}) < 65536, {fast}, {slow})")
 
 
-def blocks(fp: str, radius: int) -> Column:
-    """The radius + 1 blocks of a fingerprint: structs of number and bits."""
+def block_masks(radius: int) -> list[int]:
+    """The bits of each of radius + 1 blocks of a fingerprint, as signed longs."""
     n, out, at = radius + 1, [], 0
     for i in range(n):
         bits = 64 // n + (i < 64 % n)
-        out.append(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << bits) - 1)).alias("bits")))
+        mask = ((1 << bits) - 1) << at
+        out.append(mask - (1 << 64) if mask >> 63 else mask)
         at += bits
-    return F.array(*out)
+    return out
 
 
 def _item_tables(benchmark: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -87,9 +95,10 @@ def window_starts(places: Column, n: Column, width: Column, least: Column) -> Co
 
 
 def _agree(a: str, b: str, radius: int) -> Column:
-    """Whether two fingerprints agree on one of radius + 1 blocks and then differ in at most radius bits."""
+    """Whether two fingerprints agree on one of radius + 1 blocks, and then differ in at most radius bits."""
     differ = F.col(a).bitwiseXOR(F.col(b))
-    return F.exists(blocks("fp", radius), lambda x: F.array_contains(blocks("ifp", radius), x)) & (F.bit_count(differ) <= radius)
+    same = [differ.bitwiseAND(F.lit(mask)) == 0 for mask in block_masks(radius)]
+    return reduce(lambda x, y: x | y, same) & (F.bit_count(differ) <= radius)
 
 
 def leaks_by_text(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 24) -> DataFrame:
@@ -116,8 +125,12 @@ def leaks_by_text(docs: DataFrame, benchmark: DataFrame, width: int = 5, similar
     keys = stored(suspects.select("key").distinct())
     hit = checkpointed(texts.join(keys, "key").groupBy("key").agg(F.min("text").alias("text")).select("key", plain_words(F.col("text")).alias("words")))
     found = placed(hit, index, "n", "all", "pos").join(suspects, ["key", "iid"]).groupBy("key", "iid", "n", "all").agg(F.array_sort(F.collect_set("pos")).alias("places"))
-    least = F.ceil(F.col("all") * similarity - 1e-9).cast("int")
-    starts = found.select("key", "iid", "n", window_starts(F.col("places"), F.col("n"), F.least("n", F.lit(width)), least).alias("starts")).where(F.size("starts") > 0)
+    # Of a whole window, as many shingles as the item has, more must be shared than of one that an end of the text cuts.
+    n, size = F.col("n"), F.col("size")
+    at = lambda share: window_starts(F.col("places"), n, F.least("n", F.lit(width)), F.ceil(F.col("all") * share - 1e-9).cast("int"))
+    cut_off = F.filter(at(similarity), lambda s: (s < 0) | (s + n > size))
+    found = found.join(hit.select("key", F.size("words").alias("size")), "key")
+    starts = found.select("key", "iid", "n", F.array_distinct(F.concat(at(2 * similarity / (1 + similarity)), cut_off)).alias("starts")).where(F.size("starts") > 0)
     cut = lambda s: F.struct(F.greatest(s, F.lit(0)).alias("first_word"), F.slice("words", F.greatest(s, F.lit(0)) + 1, F.col("n") + F.least(s, F.lit(0))).alias("words"))
     window = hit.join(starts, "key").select("key", "iid", F.explode(F.transform("starts", cut)).alias("w")).select("key", "iid", "w.first_word", "w.words")
     window = window.where(F.size("words") > 0).withColumn("hs", _own_shingles("words", width)).select("key", "iid", "first_word", F.size("words").alias("n_words"), "hs")
