@@ -1,4 +1,8 @@
-"""python -m logloom STORE ACTION [NAME=VALUE ...]: answers a request over a store, a JSON object for each row."""
+"""python -m logloom STORE ACTION [NAME=VALUE ...]: answers a request over a store, a JSON object for each row.
+
+Besides there are purge (drops what is older than the retention), budget (lets the oldest rows go until the storage budget
+holds) and maintain (both), for a timer to call; config=FILE names the settings, LOGLOOM_* variables overrule it.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +11,13 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.plans.service import ACTIONS, Correlation, LogEngine
-from logloom.schema import InvalidInput, QueryFailed
+from logloom.plans.service import ACTIONS, Correlation, LogEngine, Storage
+from logloom.schema import Busy, InvalidInput, QueryFailed
+from logloom.settings import Settings, load_settings
 from logloom.streaming.store import LogStore
 
-USAGE = f"{__doc__}\nActions: {', '.join(ACTIONS)}"
+UPKEEP = ("purge", "budget", "maintain")
+USAGE = f"{__doc__}\nActions: {', '.join((*ACTIONS, *UPKEEP))}"
 
 
 def parameters(words: list[str]) -> dict:
@@ -25,15 +31,36 @@ def show(df: DataFrame) -> None:
         print(row)
 
 
+def upkeep(store: LogStore, action: str, settings: Settings) -> dict:
+    """What purge, budget or maintain did."""
+    done: dict = {}
+    if action in ("purge", "maintain"):
+        done["purged"] = store.purge(settings.cutoff())
+        store.vacuum()
+    if action in ("budget", "maintain"):
+        outcome = store.enforce(settings.budget)
+        done |= {"deleted": outcome.deleted, "write_blocked": outcome.write_blocked}
+    return done
+
+
 def main(words: list[str]) -> int:
-    if len(words) < 2 or words[1] not in ACTIONS or any("=" not in w for w in words[2:]):
+    if len(words) < 2 or words[1] not in (*ACTIONS, *UPKEEP) or any("=" not in w for w in words[2:]):
         print(USAGE, file=sys.stderr)
         return 2
     spark = SparkSession.builder.appName("logloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     store = LogStore(spark, words[0])
     try:
-        answer = LogEngine(store.logs(), store.hosts()).run(words[1], **parameters(words[2:]))
-    except (InvalidInput, QueryFailed) as error:
+        given = parameters(words[2:])
+        settings = load_settings(given.pop("config", None))
+        if words[1] in UPKEEP:
+            print(json.dumps(upkeep(store, words[1], settings)))
+            return 0
+        storage = None
+        if words[1] == "stats":
+            now = store.metrics()
+            storage = Storage(now.logical, now.physical, now.free, settings.budget)
+        answer = LogEngine(store.logs(), store.hosts(), storage).run(words[1], **given)
+    except (InvalidInput, QueryFailed, Busy) as error:
         print(error, file=sys.stderr)
         return 1
     if isinstance(answer, Correlation):

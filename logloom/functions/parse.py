@@ -60,7 +60,7 @@ def source_addr_ip(addr: Column) -> Column:
 
 
 def megabytes(size: Column) -> Column:
-    return F.format_string("%.2f", size / 1048576.0)
+    return F.when(size.isNotNull(), F.format_string("%.2f", size / 1048576.0))
 
 
 def _nil(text: Column) -> Column:

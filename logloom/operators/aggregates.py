@@ -59,9 +59,26 @@ def by_host(events: DataFrame) -> DataFrame:
     return listed.withColumn("events", F.transform("events", lambda e: F.struct(*[e[c].alias(c) for c in LOG_COLS]))).orderBy("hostname")
 
 
-def counts(logs: DataFrame) -> DataFrame:
-    """One row: logs, hosts, oldest and newest time; the index never has phantom rows, as tokens live on their row."""
-    return logs.agg(F.count("*").alias("total_logs"), F.count_distinct("hostname").alias("total_hosts"), F.min("timestamp").alias("oldest_log"), F.max("timestamp").alias("newest_log"), F.lit(0).cast("bigint").alias("phantom_fts_rows"))
+def counts(logs: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+    """One row: logs, hosts (of the registry, where there is one), oldest and newest time.
+
+    The index never has phantom rows, as tokens live on their row.
+    """
+    one = logs.agg(F.count("*").alias("total_logs"), F.count_distinct("hostname").alias("total_hosts"), F.min("timestamp").alias("oldest_log"), F.max("timestamp").alias("newest_log"), F.lit(0).cast("bigint").alias("phantom_fts_rows"))
+    if hosts is None:
+        return one
+    return one.drop("total_hosts").join(hosts.agg(F.count("*").alias("total_hosts")), how="inner").select("total_logs", "total_hosts", "oldest_log", "newest_log", "phantom_fts_rows")
+
+
+def latest_states(events: DataFrame) -> DataFrame:
+    """host_name, container_id, state, at: the last of each container's events (state, at); equal times go by state."""
+    last = events.groupBy("host_name", "container_id").agg(F.max(F.struct("at", "state")).alias("last"))
+    return last.select("host_name", "container_id", "last.state", "last.at")
+
+
+def with_state(rows: DataFrame, states: DataFrame) -> DataFrame:
+    """rows (host_name, container_id) with the state of their container; null if nothing is known of it."""
+    return rows.join(states.select("host_name", "container_id", "state"), ["host_name", "container_id"], "left")
 
 
 def top_senders(logs: DataFrame, limit: int = 5) -> DataFrame:

@@ -27,22 +27,54 @@ def oldest(logs: DataFrame, n: int) -> DataFrame:
     return logs.orderBy("received_at", "id").limit(n)
 
 
-def budget_survivors(logs: DataFrame, max_bytes: int, chunk: int = 2000) -> DataFrame:
-    """The rows left when chunks of the oldest go until at most max_bytes remain.
+LEVELS = ("day", "minute", "second")
+
 
-    Running sums are taken within days, upon sums of the later days, so that no task holds all rows.
+def _walk(logs: DataFrame, size: Column, room: int, newest_first: bool) -> tuple[int, tuple | None]:
+    """How many rows from one end of the order (received_at, id) fit into room, and the first that does not (None: all fit).
+
+    Sums by day, then by minute of one day, then by second of one minute tell where that row is, so that only the rows of
+    one second are put in order; the driver holds a number for each day.
     """
-    sized = logs.withColumns({"_bytes": row_bytes(logs), "_day": F.to_date("received_at")})
-    days = sized.groupBy("_day").agg(F.sum("_bytes").alias("b"), F.count("*").alias("n"))
-    later = Window.orderBy(F.col("_day").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select("_day", F.coalesce(F.sum("b").over(later), F.lit(0)).alias("_later"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_earlier"))
-    within = Window.partitionBy("_day").orderBy("received_at", "id")
-    ranked = sized.join(days, "_day").withColumn("_nth", F.col("_earlier") + F.row_number().over(within))
-    ranked = ranked.withColumn("_kept", F.col("_later") + F.sum("_bytes").over(Window.partitionBy("_day").orderBy(F.col("received_at").desc(), F.col("id").desc())))
-    over = ranked.where(F.col("_kept") > max_bytes).agg(F.coalesce(F.max("_nth"), F.lit(0)).alias("over"))
-    gone = F.ceil(F.col("over") / chunk) * chunk
-    return ranked.join(F.broadcast(over.select(gone.alias("_gone"))), F.col("_nth") > F.col("_gone")).select(*logs.columns)
+    end = (lambda c: F.col(c).desc()) if newest_first else F.col
+    passed, rows = 0, logs
+    for level in LEVELS:
+        at = F.date_trunc(level, "received_at")
+        beyond = None
+        for r in rows.groupBy(at.alias("at")).agg(F.sum(size).alias("s"), F.count("*").alias("n")).orderBy(end("at")).toLocalIterator():
+            if r["s"] > room:
+                beyond = r["at"]
+                break
+            room, passed = room - r["s"], passed + r["n"]
+        if beyond is None:
+            return passed, None
+        rows = rows.where(at == F.lit(beyond))
+    order = Window.orderBy(end("received_at"), end("id"))
+    running = rows.select("received_at", "id", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("sum"), F.row_number().over(order).alias("nth"))
+    first = running.where(F.col("sum") > room).orderBy("nth").first()
+    return passed + first["nth"] - 1, (first["received_at"], first["id"])
+
+
+def budget_cutoff(logs: DataFrame, max_bytes: int, chunk: int = 2000) -> tuple[int, tuple | None]:
+    """How many rows go when chunks of the oldest do until at most max_bytes remain, and (received_at, id) of the oldest that stays."""
+    kept, over = _walk(logs, row_bytes(logs), max_bytes, newest_first=True)
+    if over is None:
+        return 0, None
+    total = logs.count()
+    gone = min(total, -(-(total - kept) // chunk) * chunk)
+    return gone, _walk(logs, F.lit(1), gone, newest_first=False)[1]
+
+
+def not_before(logs: DataFrame, first: tuple) -> DataFrame:
+    """Rows from (received_at, id) on in order of arrival."""
+    at, i = F.lit(first[0]).cast(logs.schema["received_at"].dataType), F.lit(first[1])
+    return logs.where((F.col("received_at") >= at) & ((F.col("received_at") > at) | (F.col("id") >= i)))
+
+
+def budget_survivors(logs: DataFrame, max_bytes: int, chunk: int = 2000) -> DataFrame:
+    """The rows left when chunks of the oldest go until at most max_bytes remain."""
+    gone, first = budget_cutoff(logs, max_bytes, chunk)
+    return logs if not gone else logs.where("false") if first is None else not_before(logs, first)
 
 
 @dataclass(frozen=True)
@@ -64,6 +96,10 @@ class Budget:
         if self.interval_secs < 5 or not 0 < self.chunk <= 1_000_000:
             raise InvalidInput("the interval is at least 5 seconds, a chunk 1 to 1000000 rows")
 
+    @property
+    def enabled(self) -> bool:
+        return bool(self.max_mb or self.min_free_mb)
+
     def triggered(self, size: int, free: int | None) -> bool:
         return bool(self.max_mb and size > self.max_mb << 20 or self.min_free_mb and (free or 0) < self.min_free_mb << 20)
 

@@ -12,7 +12,7 @@ from logloom.functions.match import matches
 from logloom.functions.tokens import tokens
 from logloom.operators import aggregates, lifecycle
 from logloom.operators.filters import at_or_above, filtered, log_columns
-from logloom.plans.service import LogEngine
+from logloom.plans.service import LogEngine, Storage
 from logloom.schema import ERROR_SEVERITIES, LOG_COLS
 from logloom.sources.events import LOGS_SQL, logs_view
 
@@ -134,6 +134,26 @@ def stats_counts(spark, sf_dir):
     return engine(spark, sf_dir).stats()
 
 
+@query("""SELECT count(*) AS total_logs, (SELECT count(DISTINCT hostname) FROM logs) AS total_hosts, min("timestamp") AS oldest_log, max("timestamp") AS newest_log, CAST(0 AS BIGINT) AS phantom_fts_rows,
+    printf('%.2f', 5.0 * count(*) / 4) AS logical_db_size_mb, '1.50' AS physical_db_size_mb, NULL::VARCHAR AS free_disk_mb, CAST(1024 AS BIGINT) AS max_db_size_mb, CAST(0 AS BIGINT) AS min_free_disk_mb, 5.0 * count(*) / 4 > 1024 AS write_blocked
+    FROM logs WHERE received_at >= TIMESTAMP '2024-01-30'""")
+def stats_after_purge(spark, sf_dir):
+    """A purge leaves the registry; sizes are made up from the row count."""
+    logs = logs_view(spark, sf_dir)
+    left = lifecycle.retained(logs, F.lit("2024-01-30").cast("timestamp_ntz"))
+    storage = Storage(left.count() * 5 * (1 << 18), 3 << 19, None, lifecycle.Budget(min_free_mb=0, recovery_free_mb=0))
+    return LogEngine(left, aggregates.live_hosts(logs), storage).stats()
+
+
+@query("""SELECT e.id, e.hostname, s.state FROM logs e LEFT JOIN (SELECT hostname, event_type AS state FROM (
+    SELECT hostname, event_type, row_number() OVER (PARTITION BY hostname ORDER BY ts DESC, event_type DESC) AS n FROM logs WHERE event_type IN ('signup', 'view', 'purchase')) WHERE n = 1) s ON e.hostname = s.hostname""")
+def container_states(spark, sf_dir):
+    """Every row with the latest lifecycle state of its container; events of three kinds stand for lifecycle events."""
+    logs = logs_view(spark, sf_dir).select("id", F.col("hostname").alias("host_name"), F.md5("hostname").alias("container_id"), F.col("event_type"), F.col("ts").alias("at"))
+    states = aggregates.latest_states(logs.where("event_type IN ('signup', 'view', 'purchase')").withColumnRenamed("event_type", "state"))
+    return aggregates.with_state(logs.select("id", "host_name", "container_id"), states).select("id", F.col("host_name").alias("hostname"), "state")
+
+
 def _fts(name: str, expression: str, *event_types: str) -> None:
     """A search over the controlled vocabulary of the messages: which event types match is known."""
 

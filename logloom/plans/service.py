@@ -8,9 +8,11 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.functions.parse import megabytes
 from logloom.functions.timeutil import parse_rfc3339, render_utc
 from logloom.operators import aggregates
 from logloom.operators.filters import at_or_above, filtered, log_columns, newest
+from logloom.operators.lifecycle import Budget
 from logloom.schema import InvalidInput
 
 SEARCH_LIMIT, SEARCH_CAP, TAIL_LIMIT, TAIL_CAP = 100, 1000, 50, 500
@@ -53,11 +55,21 @@ class Correlation:
     summary: DataFrame
 
 
+@dataclass(frozen=True)
+class Storage:
+    """What stats tell about storage: bytes of texts, of files, and free, beside the budget."""
+
+    logical: int
+    physical: int
+    free: int | None
+    budget: Budget
+
+
 class LogEngine:
-    """Answers requests over logs (with ts and, for full-text search, tokens) and a host registry."""
+    """Answers requests over logs (with ts and, for full-text search, tokens), a host registry and storage figures."""
 
-    def __init__(self, logs: DataFrame, hosts: DataFrame | None = None):
-        self.logs, self.registry = logs, hosts
+    def __init__(self, logs: DataFrame, hosts: DataFrame | None = None, storage: Storage | None = None):
+        self.logs, self.registry, self.storage = logs, hosts, storage
 
     @staticmethod
     def _bounds(params: dict) -> dict:
@@ -98,7 +110,13 @@ class LogEngine:
         return Correlation(params["reference_time"], render_utc(at - delta), render_utc(at + delta), severity_min, log_columns(events), aggregates.by_host(events), summary)
 
     def stats(self) -> DataFrame:
-        return aggregates.counts(self.logs)
+        """One row of counts; with storage figures, also sizes in MB as text, the limits and whether writing is blocked."""
+        found, s = aggregates.counts(self.logs, self.registry), self.storage
+        if s is None:
+            return found
+        mb = lambda n: megabytes(F.lit(n).cast("long"))
+        limits = {"max_db_size_mb": F.lit(s.budget.max_mb).cast("long"), "min_free_disk_mb": F.lit(s.budget.min_free_mb).cast("long")}
+        return found.withColumns({"logical_db_size_mb": mb(s.logical), "physical_db_size_mb": mb(s.physical), "free_disk_mb": mb(s.free), **limits, "write_blocked": F.lit(s.budget.triggered(s.logical, s.free))})
 
     def help(self) -> str:
         return HELP

@@ -31,3 +31,7 @@ class InvalidInput(ValueError):
 
 class QueryFailed(RuntimeError):
     """A search expression with a syntax error; the text says no more than that."""
+
+
+class Busy(RuntimeError):
+    """Another writer holds the store; the request may be tried again."""

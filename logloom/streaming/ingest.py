@@ -6,19 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from logloom.functions.parse import parse_container_line, parse_syslog
+from logloom.functions.parse import parse_container_line, parse_syslog, truncate_utf8
 from logloom.functions.timeutil import nanos
 from logloom.operators.aggregates import after_checkpoint, ingest_summary
 from logloom.streaming.store import LogStore
 
 CONTAINER_SCHEMA = "host_name string, container_id string, name string, project string, service string, stream string, line string, received_at timestamp"
-SYSLOG_SCHEMA = "value string, source_ip string, received_at timestamp"
+SYSLOG_SCHEMA = "value string, source_ip string, received_at timestamp, transport string"
 
 
 def read_lines(spark: SparkSession, folder: str, max_bytes: int = 8192, max_files: int = 1000) -> DataFrame:
-    """JSON files of lines with their source and receipt time, as a stream; empty and oversized lines are dropped."""
+    """JSON files of lines with their source and receipt time, as a stream.
+
+    Empty lines are dropped. A line of more than max_bytes is cut if its transport is udp, else dropped.
+    """
     lines = spark.readStream.schema(SYSLOG_SCHEMA).option("maxFilesPerTrigger", max_files).json(folder)
-    return lines.where(F.octet_length("value").between(1, max_bytes))
+    whole = F.when(F.col("transport") == "udp", truncate_utf8(F.col("value"), max_bytes)).otherwise(F.col("value"))
+    return lines.withColumn("value", whole).where(F.octet_length("value").between(1, max_bytes)).drop("transport")
 
 
 def read_containers(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:

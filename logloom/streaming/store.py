@@ -1,14 +1,17 @@
 """Log storage in Parquet: batches from a stream, the host registry, checkpoints, retention and budget.
 
-Layout under one root: logs/g=<generation>/batch_id=<stream>-<n>/received_date=<day>, hosts/v=<n>, checkpoints/v=<n>, and
-commits, a row for each commit. A batch is written under its stream's name and number, so a replay overwrites it and streams
-that share a store do not meet; readers see what commits names. Writers of one driver take turns. A purge writes the survivors
-as the next generation. Old generations are removed by vacuum().
+Layout under one root: logs/received_date=<day>/stream=<name>/batch=<n>, hosts/v=<n>, checkpoints/v=<n> and state/v=<n>. A
+batch overwrites its own partitions, so a replay changes nothing. The state, one small row, names for each stream the last
+batch that counts, and the first row of arrival that does; readers turn both into filters that prune partitions. So a
+purge or the budget writes a state and no rows; vacuum() deletes the days before it. The last KEEP versions stay readable.
 """
 
 from __future__ import annotations
 
 import threading
+from dataclasses import dataclass
+from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,18 +20,40 @@ from pyspark.sql import types as T
 from logloom.functions.timeutil import instant, nanos
 from logloom.functions.tokens import tokens
 from logloom.operators.aggregates import live_hosts, merge_hosts, reconcile_hosts
-from logloom.operators.lifecycle import Budget, budget_survivors, retained
-from logloom.schema import CHECKPOINTS, HOSTS, LOGS
+from logloom.operators.lifecycle import Budget, budget_cutoff, not_before, row_bytes
+from logloom.schema import CHECKPOINTS, HOSTS, LOGS, Busy
 
-COMMITS = "seq long, kind string, generation long, batch_id string, next_id long, version long"
-#: Each commit builds on the one before, so only one may be under way.
-WRITING = threading.RLock()
+FORMAT = 2
+STATE = "format int, version long, next_id long, batches map<string,long>, first_at timestamp, first_id long, write_blocked boolean"
+FILES = T.StructType([*LOGS.fields, T.StructField("received_date", T.DateType()), T.StructField("stream", T.StringType()), T.StructField("batch", T.LongType())])
+#: Versions of the small tables that stay for readers under way.
+KEEP = 20
+#: Each version builds on the one before, so only one writer may be at work, and others wait so many seconds.
+WRITING, WAIT_SECS = threading.RLock(), 600
 
 
 class WriteBlocked(RuntimeError):
     """The budget leaves no room; the stream keeps its offsets and tries again."""
 
 
+@dataclass(frozen=True)
+class Metrics:
+    """Bytes of the texts of all rows, of all files, and free on the file system."""
+
+    logical: int
+    physical: int
+    free: int | None
+
+
+@dataclass(frozen=True)
+class Outcome:
+    """What enforcing the budget did."""
+
+    deleted: int
+    write_blocked: bool
+    metrics: Metrics
+
+
 def numbered(rows: DataFrame, order: list, first: Column) -> tuple[DataFrame, DataFrame]:
     """rows with id counting up from first in the given order, without bringing all rows into one task; and what to unpersist."""
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id()).persist()
@@ -45,37 +70,64 @@ class LogStore:
     def _path(self, *parts) -> str:
         return "/".join((self.root, *map(str, parts)))
 
-    def _exists(self, path: str) -> bool:
-        jvm, sc = self.spark._jvm, self.spark.sparkContext
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(sc._jsc.hadoopConfiguration()).exists(where)
+    def _fs(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
-    def commits(self) -> DataFrame:
-        path = self._path("commits")
-        return self.spark.read.schema(COMMITS).parquet(path) if self._exists(path) else self.spark.createDataFrame([], COMMITS)
+    def _children(self, *parts) -> list[str]:
+        fs, where = self._fs(self._path(*parts))
+        return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
 
-    def state(self) -> dict:
-        """The last commit; zeros for a new store."""
-        last = self.commits().orderBy(F.col("seq").desc()).first()
-        return last.asDict() if last else {"seq": 0, "kind": "new", "generation": 0, "batch_id": "none", "next_id": 1, "version": 0}
+    def _versions(self, table: str) -> list[int]:
+        return sorted(int(name[2:]) for name in self._children(table) if name.startswith("v="))
+
+    def _finished(self, version: int) -> bool:
+        fs, where = self._fs(self._path("state", f"v={version}", "_SUCCESS"))
+        return fs.exists(where)
 
-    def _commit(self, **changes) -> dict:
+    def state(self) -> dict:
+        """The last state; that of a new store has no batches."""
+        for version in reversed(self._versions("state")):
+            if self._finished(version):
+                state = self.spark.read.schema(STATE).parquet(self._path("state", f"v={version}")).first().asDict()
+                if state["format"] != FORMAT:
+                    raise RuntimeError(f"the store has format {state['format']}, this reads {FORMAT}")
+                return state
+        return {"format": FORMAT, "version": 0, "next_id": 1, "batches": {}, "first_at": None, "first_id": 0, "write_blocked": False}
+
+    def _commit(self, hosts: DataFrame | None = None, checkpoints: DataFrame | None = None, **changes) -> None:
+        """The next version: tables not given stay, and the state comes last, so that what fails before it does not count."""
         now = self.state()
-        new = now | changes | {"seq": now["seq"] + 1}
-        self.spark.createDataFrame([tuple(new[f.split()[0]] for f in COMMITS.split(", "))], COMMITS).coalesce(1).write.mode("append").parquet(self._path("commits"))
-        return new
+        version = now["version"] + 1
+        (self.hosts() if hosts is None else hosts).write.mode("overwrite").parquet(self._path("hosts", f"v={version}"))
+        (self.checkpoints() if checkpoints is None else checkpoints).write.mode("overwrite").parquet(self._path("checkpoints", f"v={version}"))
+        new = now | changes | {"version": version}
+        row = self.spark.createDataFrame([tuple(new[f.split()[0]] for f in STATE.split(", "))], STATE)
+        row.coalesce(1).write.mode("overwrite").parquet(self._path("state", f"v={version}"))
+        for table in ("state", "hosts", "checkpoints"):
+            for old in [v for v in self._versions(table) if v <= version - KEEP]:
+                fs, where = self._fs(self._path(table, f"v={old}"))
+                fs.delete(where, True)
+
+    def _locked(self):
+        if not WRITING.acquire(timeout=WAIT_SECS):
+            raise Busy("another writer holds the store")
+        return WRITING
 
     def logs(self) -> DataFrame:
-        path = self._path("logs", f"g={self.state()['generation']}")
-        if not self._exists(path):
+        state = self.state()
+        if not state["batches"]:
             return self.spark.createDataFrame([], LOGS)
-        done = self.commits().where("kind = 'batch'").select("batch_id").distinct()
-        rows = self.spark.read.schema(T.StructType([*LOGS.fields, T.StructField("batch_id", T.StringType()), T.StructField("received_date", T.DateType())])).parquet(path)
-        return rows.join(F.broadcast(done), "batch_id", "left_semi").select(*LOGS.fieldNames())
+        rows = self.spark.read.schema(FILES).parquet(self._path("logs"))
+        counts = [(F.col("stream") == s) & (F.col("batch") <= n) for s, n in sorted(state["batches"].items())]
+        rows = rows.where(reduce(lambda a, b: a | b, counts))
+        if state["first_at"] is not None:
+            rows = not_before(rows.where(F.col("received_date") >= F.to_date(F.lit(state["first_at"]))), (state["first_at"], state["first_id"]))
+        return rows.select(*LOGS.fieldNames())
 
     def _versioned(self, table: str, schema) -> DataFrame:
-        path = self._path(table, f"v={self.state()['version']}")
-        return self.spark.read.schema(schema).parquet(path) if self._exists(path) else self.spark.createDataFrame([], schema)
+        version = self.state()["version"]
+        return self.spark.read.schema(schema).parquet(self._path(table, f"v={version}")) if version else self.spark.createDataFrame([], schema)
 
     def hosts(self) -> DataFrame:
         return self._versioned("hosts", HOSTS)
@@ -86,77 +138,106 @@ class LogStore:
     def commit_batch(self, rows: DataFrame, batch_id: int, blocked: bool = False, stream: str = "syslog") -> bool:
         """Adds parsed rows (with received_at, and host_name, container_id, last_timestamp for container lines).
 
-        Batches are numbered by stream. A batch already committed is left as it is and gives False. A blocked store raises,
-        so that the stream's offsets stay.
+        Batches are numbered by stream and come in order. A batch already committed is left as it is and gives False. A
+        blocked store raises, so that the stream's offsets stay.
         """
-        if blocked:
+        now = self.state()
+        if blocked or now["write_blocked"]:
             raise WriteBlocked("the storage budget is used up")
-        with WRITING:
-            return self._add(rows, f"{stream}-{batch_id}")
-
-    def _add(self, rows: DataFrame, batch_id: str) -> bool:
-        if self.commits().where((F.col("kind") == "batch") & (F.col("batch_id") == batch_id)).limit(1).count():
+        if batch_id <= now["batches"].get(stream, -1):
             return False
+        lock = self._locked()
+        try:
+            self._add(rows, stream, batch_id)
+        finally:
+            lock.release()
+        return True
+
+    def _add(self, rows: DataFrame, stream: str, batch_id: int) -> None:
         now = self.state()
         for name in ("host_name", "container_id", "last_timestamp"):
             if name not in rows.columns:
                 rows = rows.withColumn(name, F.lit(None).cast("string"))
-        full = rows.withColumns({"ts": instant(F.col("timestamp")), "ts_nanos": nanos(F.col("timestamp")), "tokens": tokens(F.col("message")), "received_date": F.to_date("received_at")})
-        given, held = numbered(full, ["received_at", "timestamp", "raw"], F.lit(now["next_id"]))
-        path = self._path("logs", f"g={now['generation']}", f"batch_id={batch_id}")
-        given.select(*LOGS.fieldNames(), "received_date").write.mode("overwrite").partitionBy("received_date").parquet(path)
-        written = self.spark.read.schema(LOGS).parquet(path)
-        size = written.agg(F.count("*").alias("n"), F.max("received_at").alias("at")).first()
-        version = now["version"] + 1
-        merge_hosts(self.hosts(), written, F.lit(size["at"]).cast("timestamp")).write.mode("overwrite").parquet(self._path("hosts", f"v={version}"))
+        full = rows.withColumns({"ts": instant(F.col("timestamp")), "ts_nanos": nanos(F.col("timestamp")), "tokens": tokens(F.col("message")), "received_date": F.to_date("received_at"), "_arrived": F.monotonically_increasing_id()})
+        given, held = numbered(full, ["received_at", "_arrived"], F.lit(now["next_id"]))
+        parts = {"stream": F.lit(stream), "batch": F.lit(batch_id)}
+        out = given.select(*LOGS.fieldNames(), "received_date").withColumns(parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy("received_date", "stream", "batch").parquet(self._path("logs"))
+        size = given.agg(F.count("*").alias("n"), F.max("received_at").alias("at")).first()
+        hosts = merge_hosts(self.hosts(), given, F.lit(size["at"]).cast("timestamp"))
         last = given.where("container_id IS NOT NULL").groupBy("host_name", "container_id").agg(F.max_by("last_timestamp", "id").alias("last_timestamp"), F.max("received_at").alias("updated_at"))
         old = self.checkpoints().join(last, ["host_name", "container_id"], "left_anti")
-        old.unionByName(last).select(*CHECKPOINTS.fieldNames()).write.mode("overwrite").parquet(self._path("checkpoints", f"v={version}"))
+        self._commit(hosts, old.unionByName(last).select(*CHECKPOINTS.fieldNames()), next_id=now["next_id"] + size["n"], batches=now["batches"] | {stream: batch_id})
         held.unpersist()
-        self._commit(kind="batch", batch_id=batch_id, next_id=now["next_id"] + size["n"], version=version)
-        return True
-
-    def _replace(self, survivors: DataFrame, hosts: DataFrame | None = None) -> None:
-        """survivors as the next generation, under the number of the last batch."""
-        now = self.state()
-        path = self._path("logs", f"g={now['generation'] + 1}", f"batch_id={now['batch_id']}")
-        survivors.withColumn("received_date", F.to_date("received_at")).write.mode("overwrite").partitionBy("received_date").parquet(path)
-        version = now["version"] + 1
-        (self.hosts() if hosts is None else hosts).write.mode("overwrite").parquet(self._path("hosts", f"v={version}"))
-        self.checkpoints().write.mode("overwrite").parquet(self._path("checkpoints", f"v={version}"))
-        self._commit(kind="replace", generation=now["generation"] + 1, version=version)
 
-    def purge(self, cutoff) -> int:
-        """Drops rows that arrived before cutoff (None: nothing); the registry stays. Returns how many went."""
+    def purge(self, cutoff: datetime | None) -> int:
+        """Hides rows that arrived before cutoff (None: nothing), from now on; the registry stays. Returns how many went."""
         if cutoff is None:
             return 0
-        with WRITING:
-            logs = self.logs()
-            gone = logs.where(F.col("received_at") < F.lit(cutoff)).count()
+        lock = self._locked()
+        try:
+            gone = self.logs().where(F.col("received_at") < F.lit(cutoff)).count()
             if gone:
-                self._replace(retained(logs, F.lit(cutoff)))
-        return gone
+                self._commit(first_at=cutoff, first_id=0)
+            return gone
+        finally:
+            lock.release()
+
+    def metrics(self) -> Metrics:
+        logs = self.logs()
+        logical = logs.agg(F.sum(row_bytes(logs))).first()[0] or 0
+        fs, where = self._fs(self.root)
+        return Metrics(logical, fs.getContentSummary(where).getLength() if fs.exists(where) else 0, fs.getStatus().getRemaining())
+
+    def enforce(self, budget: Budget, metrics=None) -> Outcome:
+        """Lets the oldest rows go until the budget's recovery targets are met, and blocks writing if that is not enough.
+
+        Space short on the file system counts as that many bytes of texts too many. metrics, if given, is called in place
+        of metrics().
+        """
+        measure = metrics or self.metrics
+        now, deleted = measure(), 0
+        if budget.enabled and not budget.recovered(now.logical, now.free):
+            short = max(0, (budget.recovery_free_mb << 20) - (now.free or 0)) if budget.min_free_mb else 0
+            most = min(budget.recovery_mb << 20 if budget.max_mb else now.logical, max(0, now.logical - short))
+            deleted = self.enforce_budget(most, budget.chunk)
+            self.vacuum()
+            now = measure()
+        blocked = budget.enabled and budget.triggered(now.logical, now.free)
+        if blocked != self.state()["write_blocked"]:
+            lock = self._locked()
+            try:
+                self._commit(write_blocked=blocked)
+            finally:
+                lock.release()
+        return Outcome(deleted, blocked, now)
 
     def enforce_budget(self, max_bytes: int, chunk: int = Budget.chunk) -> int:
-        """Drops chunks of the oldest rows until max_bytes of texts remain, and counts their hosts anew. Returns how many went."""
-        with WRITING:
+        """Hides chunks of the oldest rows until max_bytes of texts remain, and counts their hosts anew. Returns how many went."""
+        lock = self._locked()
+        try:
             logs = self.logs()
-            left = budget_survivors(logs, max_bytes, chunk)
-            gone = logs.join(left.select("id"), "id", "left_anti")
-            n = gone.count()
-            if n:
-                self._replace(left, reconcile_hosts(self.hosts(), left, gone))
-        return n
+            gone, first = budget_cutoff(logs, max_bytes, chunk)
+            if gone:
+                newest = logs.orderBy(F.col("received_at").desc(), F.col("id").desc()).select("received_at", "id").first()
+                first = first or (newest["received_at"], newest["id"] + 1)
+                left = not_before(logs, first)
+                affected = logs.where(F.col("received_at") <= F.lit(first[0])).join(left.select("id"), "id", "left_anti")
+                self._commit(reconcile_hosts(self.hosts(), left, affected), first_at=first[0], first_id=first[1])
+            return gone
+        finally:
+            lock.release()
 
     def recount(self) -> DataFrame:
         return live_hosts(self.logs())
 
     def vacuum(self) -> None:
-        """Removes generations and versions that no reader of the last commit sees."""
-        now, jvm, sc = self.state(), self.spark._jvm, self.spark.sparkContext
-        for table, key, current in (("logs", "g", now["generation"]), ("hosts", "v", now["version"]), ("checkpoints", "v", now["version"])):
-            where = jvm.org.apache.hadoop.fs.Path(self._path(table))
-            fs = where.getFileSystem(sc._jsc.hadoopConfiguration())
-            for status in fs.listStatus(where) if fs.exists(where) else []:
-                if status.getPath().getName() != f"{key}={current}":
-                    fs.delete(status.getPath(), True)
+        """Deletes the days of arrival of which no row counts any more."""
+        first = self.state()["first_at"]
+        if first is None:
+            return
+        day = self.spark.range(1).select(F.to_date(F.lit(first)).cast("string")).first()[0]
+        for name in self._children("logs"):
+            if name.startswith("received_date=") and name.partition("=")[2] < day:
+                fs, where = self._fs(self._path("logs", name))
+                fs.delete(where, True)

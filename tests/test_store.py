@@ -5,8 +5,10 @@ import pytest
 
 from logloom.sources.hosts_file import load_hosts
 from logloom.schema import InvalidInput
-from logloom.streaming.ingest import ingest, read_containers, read_lines
-from logloom.streaming.store import LogStore, WriteBlocked
+from logloom.streaming.ingest import ingest, parsed_syslog, read_containers, read_lines
+from logloom.operators.lifecycle import Budget
+from logloom.settings import Settings, load_settings
+from logloom.streaming.store import LogStore, Metrics, WriteBlocked
 
 
 def put(folder, name, rows):
@@ -31,7 +33,7 @@ def test_stream_store_purge_and_budget(spark, tmp_path):
     assert not store.commit_batch(store.logs().limit(1), 1), "a replayed batch is left alone"
     assert store.purge(None) == 0 and store.purge(datetime(2026, 1, 2)) == 1
     assert {r.hostname: r.log_count for r in store.hosts().collect()} == {"h1": 2, "h2": 1}, "a purge leaves the registry"
-    assert store.enforce_budget(150, chunk=1) == 1
+    assert store.enforce_budget(150, chunk=1) == 1, "the older of the two rows left"
     assert {r.hostname: r.log_count for r in store.hosts().collect()} == {"h1": 2}, "only affected hosts are counted anew"
     store.vacuum()
     assert [r.message for r in store.logs().collect()] == ["three"]
@@ -73,3 +75,68 @@ def test_hosts_file(tmp_path):
     path.write_text('[[hosts]]\nname = "a"\nbase_url = "http://a:1"\n')
     with pytest.raises(InvalidInput):
         load_hosts(str(path))
+
+
+def stored(spark, folder, *rows):
+    """A store with a batch of syslog lines (host, message, received_at)."""
+    store = LogStore(spark, str(folder))
+    lines = [(f"<34>1 {at:%Y-%m-%dT%H:%M:%SZ} {host} su - - - {text}", "a:1", at) for host, text, at in rows]
+    store.commit_batch(parsed_syslog(spark.createDataFrame(lines, "value string, source_ip string, received_at timestamp")), 0)
+    return store
+
+
+def test_retention_goes_by_arrival(spark, tmp_path):
+    store = stored(spark, tmp_path, ("a", "old", datetime(2020, 1, 1)), ("a", "new", datetime(2026, 1, 1)))
+    assert store.purge(Settings(retention_days=0).cutoff()) == 0
+    assert store.purge(Settings(retention_days=90).cutoff(datetime(2026, 2, 1))) == 1
+    store.vacuum()
+    assert [p.name for p in (tmp_path / "logs").glob("received_date=*")] == ["received_date=2026-01-01"]
+    assert [r.message for r in store.logs().collect()] == ["new"]
+
+
+def test_budget_by_size_and_by_free_space(spark, tmp_path):
+    rows = ("gone", "oldest-" * 350_000, datetime(2026, 1, 1)), ("kept", "newest-" * 30_000, datetime(2026, 1, 2))
+    store = stored(spark, tmp_path / "a", *rows)
+    before = store.metrics()
+    assert before.logical > 2_600_000 and before.physical > 0 and before.free > 0
+    done = store.enforce(Budget(max_mb=3, recovery_mb=2, min_free_mb=0, recovery_free_mb=0, chunk=1))
+    assert (done.deleted, done.write_blocked) == (1, False) and done.metrics.logical <= 2 << 20
+    assert [(r.hostname, r.log_count) for r in store.hosts().collect()] == [("kept", 1)]
+
+    store, mb = stored(spark, tmp_path / "b", *rows), 1 << 20
+    short = iter([Metrics(5 * mb, 5 * mb, 766 * mb), Metrics(mb, mb, 900 * mb)])
+    done = store.enforce(Budget(max_mb=0, recovery_mb=0, chunk=1), lambda: next(short))
+    assert done.deleted == 1 and not done.write_blocked
+
+    done = store.enforce(Budget(max_mb=0, recovery_mb=0, chunk=1), lambda: Metrics(mb, mb, 64 * mb))
+    assert done.write_blocked and store.logs().count() == 0
+    with pytest.raises(WriteBlocked):
+        store.commit_batch(store.logs(), 5)
+    assert not store.enforce(Budget(max_mb=0, recovery_mb=0), lambda: Metrics(mb, mb, 900 * mb)).write_blocked
+
+
+def test_oversized_lines(spark, tmp_path):
+    landing, store = tmp_path / "in", LogStore(spark, str(tmp_path / "store"))
+    put(landing, "a.json", [line("é" * 100, "2026-01-01T00:00:00Z") | {"transport": t} for t in ("udp", "tcp")])
+    ingest(read_lines(spark, str(landing), max_bytes=51), store, str(tmp_path / "cp")).awaitTermination()
+    assert [r.message for r in store.logs().collect()] == ["é" * 25]
+
+
+def test_old_versions_go_and_plans_do_not_grow(spark, tmp_path):
+    store = stored(spark, tmp_path, ("a", "x", datetime(2026, 1, 1)))
+    for _ in range(22):
+        store._commit()
+    assert len(list((tmp_path / "state").glob("v=*"))) == 20 and store.state()["version"] == 23
+    plan = store.logs()._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "PartitionFilters" in plan
+
+
+def test_settings(tmp_path):
+    path = tmp_path / "s.toml"
+    path.write_text("retention_days = 7\n[budget]\nmax_mb = 50\nrecovery_mb = 40\n")
+    s = load_settings(str(path), {"LOGLOOM_RETENTION_DAYS": "9", "LOGLOOM_CHUNK": "10"})
+    assert (s.retention_days, s.budget.max_mb, s.budget.chunk, s.max_message_bytes) == (9, 50, 10, 8192)
+    path.write_text("nope = 1\n")
+    for bad in (lambda: load_settings(str(path), {}), lambda: load_settings(None, {"LOGLOOM_CHUNK": "x"}), lambda: load_settings(None, {"LOGLOOM_RECOVERY_MB": "5000"})):
+        with pytest.raises(InvalidInput):
+            bad()
