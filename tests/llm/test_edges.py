@@ -108,6 +108,23 @@ def test_urls(spark):
     for r in got:
         assert (r.host, r.path, r.rule, r.verdict) == cases[r.url], r.url
     assert urls.judge_urls(pages.where("false"), urls.rule_table(spark)).count() == 0
+    assert {r.verdict for r in urls.judge_urls(pages, urls.rule_table(spark).where("false")).collect()} == {"allow"}
+
+
+@pytest.mark.parametrize("most", [0, 50_000])
+def test_many_rules_long_urls_and_clashing_columns(spark, monkeypatch, most):
+    monkeypatch.setattr(urls, "BROADCAST_RULES", most)
+    rules = [("block" if n % 2 else "allow", f"h{n % 40}.org", "/" + "p" * (n // 40)) for n in range(800)] + [("block", None, "/"), ("block", "h1.org", None)]
+    long = "/" + "p" * 30_000
+    addresses = [f"http://a.b.c.h{n}.org{long}" for n in range(45)] + ["http://" + "x." * 5000 + "h3.org/pp"]
+    clashing = "page_id long, url string, bh string, bp string, key string, p string, h string, full string, host string, url_host_ string"
+    pages = spark.createDataFrame([(n, u, *"abcdefgh") for n, u in enumerate(addresses)], clashing)
+    got = {r.page_id: r for r in urls.judge_urls(pages, spark.createDataFrame(rules, "verdict string, host string, path string")).collect()}
+    assert {(r.bh, r.bp, r.key, r.p, r.h, r.full, r.url_host_) for r in got.values()} == {(*"abcdef", "h")}
+    for n in range(45):
+        want = (f"h{n}.org/" + "p" * 19, "block" if n % 2 else "allow") if n < 40 else (None, "allow")
+        assert (got[n].rule, got[n].verdict, got[n].path) == (*want, long)
+    assert got[45].rule == "h3.org/pp"
 
 
 def test_neighbours(spark):
