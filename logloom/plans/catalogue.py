@@ -186,7 +186,13 @@ def fts_filtered(spark, sf_dir):
     return engine(spark, sf_dir, True).search(query="connection", hostname="host-5", severity="err")
 
 
-@query()
+def _word(stems: str) -> str:
+    """SQL for: the text has a word of one of the forms."""
+    edge = "[^\\p{L}\\p{N}\\p{Co}]"
+    return f"regexp_matches(lower(text), '(^|{edge})({stems})($|{edge})')"
+
+
+@query(f"SELECT lang, count(*) AS n FROM documents WHERE {_word('licens(e|es|ed|ing)')} OR ({_word('token(s|ed|ing)?')} AND NOT {_word('password(s|ed|ing)?')}) GROUP BY lang", logs=False)
 def documents_fts(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("tokens", tokens(F.col("text")))
     return docs.where(matches(F.col("tokens"), "license OR (token NOT password)")).groupBy("lang").agg(F.count("*").alias("n"))
