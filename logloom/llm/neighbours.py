@@ -37,8 +37,10 @@ class BlockIndex:
     A line's numbers lie in -1..1; adding 4 times the line's number keeps the lines apart in one sorted array.
     """
 
-    def __init__(self, unit: np.ndarray, lines: np.ndarray):
+    def __init__(self, unit: np.ndarray, lines: np.ndarray, ids: np.ndarray):
         self.lines, self.n = lines, len(unit)
+        # Vectors that share an id count once towards `enough`.
+        self.ids = ids if len(np.unique(ids)) < len(ids) else None
         self.order = np.empty((len(lines), self.n), np.int32)
         self.at = np.empty((len(lines), self.n))
         for j, line in enumerate(lines):
@@ -64,7 +66,7 @@ class BlockIndex:
                 count += np.bincount(np.concatenate(new), minlength=self.n)
             low, high = lo, hi
             found = np.flatnonzero(count >= threshold)
-            if len(found) >= enough:
+            if len(found) >= enough and (self.ids is None or len(np.unique(self.ids[found])) >= enough):
                 return found
             reach *= growth
         return np.arange(self.n)
@@ -83,16 +85,20 @@ def search_block(base: pd.DataFrame, asked: pd.DataFrame, k: int, lines: int, wi
     index = None
     if len(x) > enough:
         dirs = np.random.default_rng(seed).standard_normal((lines, unit.shape[1]))
-        index = BlockIndex(unit, dirs / np.linalg.norm(dirs, axis=1)[:, None])
+        index = BlockIndex(unit, dirs / np.linalg.norm(dirs, axis=1)[:, None], ids)
+    repeated = len(np.unique(ids)) < len(ids)
     out = []
     for i in range(len(q)):
         near = np.arange(len(x)) if index is None else index.candidates(centre[i], min(windows, lines), int(np.ceil(threshold * min(windows, lines))), enough)
         near = near[ids[near] != q_ids[i]]
         verified, score = len(near), x[near] @ q[i]
-        if len(near) > 4 * k:
+        if len(near) > 4 * k and not repeated:
             keep = score >= np.partition(score, -k)[-k]
             near, score = near[keep], score[keep]
-        best = np.lexsort((ids[near], -score))[:k]
+        best = np.lexsort((ids[near], -score))
+        if repeated:  # of an id, its best vector
+            best = best[np.sort(np.unique(ids[near[best]], return_index=True)[1])]
+        best = best[:k]
         out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[near[best]], "score": score[best], "verified": verified}))
     return pd.concat(out, ignore_index=True)
 
@@ -107,7 +113,7 @@ def found_in_blocks(vectors: DataFrame, is_query: Column, k: int = 20, lines: in
     shapes = rows.groupBy("length").agg(F.max("norm2").alias("norm2"), at_least_one(F.count("*"), block).alias("blocks"), at_least_one(F.count_if("asks"), query_block).alias("asked"))
     placed = rows.drop("norm2").join(shapes, "length")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    spread = F.xxhash64(F.lit(seed), "vec_id")
+    spread = F.xxhash64(F.lit(seed), "vec_id", "embedding")
     base = placed.select("vec_id", "embedding", "length", "norm2", F.pmod(spread, F.col("blocks")).cast("int").alias("b"), numbers("asked").alias("g"))
     queries = placed.where("asks").select(F.pmod(spread, F.col("asked")).cast("int").alias("g"), numbers("blocks").alias("b"), *[F.col(c).alias(f"q_{c}") for c in ("vec_id", "embedding", "length")])
 

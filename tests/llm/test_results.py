@@ -55,6 +55,23 @@ def test_hot_vector(spark):
     assert [x.vec_id for x in sorted(got, key=lambda x: x["rank"])] == [i for _, i in exact]
 
 
+def test_hot_id_and_lengths(spark):
+    r = np.random.default_rng(2)
+    rows = [(7 if i % 3 else i, r.normal(size=4).tolist()) for i in range(900)] + [(1000 + i, r.normal(size=2).tolist()) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest_neighbours(df, F.col("vec_id").isin(300, 1003), block=200, enough=40).collect()
+    q = dict(rows)[300]
+    best = {}
+    for i, v in rows:
+        if i != 300 and len(v) == 4:
+            best[i] = max(best.get(i, -np.inf), float(np.dot(q, v)))
+    exact = sorted((-s, i) for i, s in best.items())[:20]
+    found = {x.vec_id for x in got if x.query_id == 300}
+    assert len(found) == 20 and len(found & {i for _, i in exact}) >= 17
+    assert [x.score for x in got if (x.query_id, x.vec_id) == (300, 7)] in ([], [best[7]])
+    assert {x.vec_id for x in got if x.query_id == 1003} == {1000, 1001, 1002, 1004}
+
+
 def five(words):
     return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
 
