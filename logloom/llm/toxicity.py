@@ -22,6 +22,8 @@ _WORD_BYTES = {*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *rang
 #: Besides whole words, stems are features: the first so many characters of a word, with the number of different
 #: words of the text that begin so, up to MOST. Written ^stem, ^stem+2, ^stem+3.
 PREFIXES, MOST = (3, 4, 5, 6, 7), 3
+#: A task forgets the words it has looked up when they are more than this; it only looks them up again.
+MOST_SEEN = 50_000
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if b in _WORD_BYTES else 32 for b in range(256))
 
 
@@ -39,7 +41,7 @@ class ToxicityModel:
 
     def scores(self, texts: pd.Series) -> pd.Series:
         known = {x.partition("+")[0] for x in self.weights}
-        seen: dict[bytes, tuple[str, ...]] = {}  # the words of this batch
+        seen: dict[bytes, tuple[str, ...]] = {}  # words looked up
         f = np.full(len(texts), self.bias)
         for i, text in enumerate(texts):
             f[i] += sum(self.weights.get(x, 0.0) for x in sorted(text_features(text, known, seen)))
@@ -54,6 +56,8 @@ def text_features(text: str | None, known: set | None = None, seen: dict | None
     """The features of a text; only those of known words and stems, if given. seen keeps the known ones of each word met."""
     words = set(text.encode("utf-8", "surrogatepass").translate(_FOLD).split()) if text else set()
     seen = {} if seen is None else seen
+    if len(seen) > MOST_SEEN:
+        seen.clear()
     for w in (w for w in words if w not in seen):
         stems = _stems(w.decode("utf-8", "replace"))
         seen[w] = tuple(stems if known is None else (x for x in stems if x in known))
