@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.parse import source_addr_ip
-from logloom.operators.filters import newest
 from logloom.schema import ERROR_SEVERITIES, LOG_COLS
 
 
@@ -46,12 +45,6 @@ def after_checkpoint(rows: DataFrame, checkpoints: DataFrame) -> DataFrame:
     return kept.where(F.coalesce(F.col("entry_nanos") > F.col("checkpoint_nanos"), F.lit(True))).drop("checkpoint_nanos")
 
 
-def probe(found: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """The newest `limit` rows, and one row truncated: whether there are more. Reads limit + 1 rows at most."""
-    some = newest(found, limit + 1)
-    return newest(found, limit), some.agg((F.count("*") > limit).alias("truncated"))
-
-
 def by_host(events: DataFrame) -> DataFrame:
     """hostname, event_count, events: the rows of each host as a list, newest first, hosts in byte order."""
     entry = F.struct(F.col("ts"), *LOG_COLS)
@@ -67,7 +60,8 @@ def counts(logs: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
     one = logs.agg(F.count("*").alias("total_logs"), F.count_distinct("hostname").alias("total_hosts"), F.min("timestamp").alias("oldest_log"), F.max("timestamp").alias("newest_log"), F.lit(0).cast("bigint").alias("phantom_fts_rows"))
     if hosts is None:
         return one
-    return one.drop("total_hosts").join(hosts.agg(F.count("*").alias("total_hosts")), how="inner").select("total_logs", "total_hosts", "oldest_log", "newest_log", "phantom_fts_rows")
+    of_registry = hosts.agg(F.count("*").alias("total_hosts"), F.lit(1).alias("k"))
+    return one.drop("total_hosts").withColumn("k", F.lit(1)).join(of_registry, "k").select("total_logs", "total_hosts", "oldest_log", "newest_log", "phantom_fts_rows")
 
 
 def latest_states(events: DataFrame) -> DataFrame:

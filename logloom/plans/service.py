@@ -13,7 +13,7 @@ from logloom.functions.timeutil import parse_rfc3339, render_utc
 from logloom.operators import aggregates
 from logloom.operators.filters import at_or_above, filtered, log_columns, newest
 from logloom.operators.lifecycle import Budget
-from logloom.schema import InvalidInput
+from logloom.schema import LOG_COLS, InvalidInput
 
 SEARCH_LIMIT, SEARCH_CAP, TAIL_LIMIT, TAIL_CAP = 100, 1000, 50, 500
 CORRELATE_LIMIT, CORRELATE_CAP, WINDOW_MINUTES, WINDOW_CAP = 500, 999, 5, 60
@@ -103,11 +103,11 @@ class LogEngine:
         severity_min = params.get("severity_min") or "warning"
         same = {k: params.get(k) for k in ("query", "hostname", "source_ip")}
         found = filtered(self.logs, **same, severity_in=at_or_above(severity_min), start=at - delta, end=at + delta)
-        events, truncated = aggregates.probe(found, limit)
-        totals = events.agg(F.count("*").alias("total_events"), F.count_distinct("hostname").alias("total_hosts"))
-        one = F.lit(1)
-        summary = truncated.withColumn("k", one).join(totals.withColumn("k", one), "k").drop("k")
-        return Correlation(params["reference_time"], render_utc(at - delta), render_utc(at + delta), severity_min, log_columns(events), aggregates.by_host(events), summary)
+        # One read of the window: at most CORRELATE_CAP + 1 rows, of which the answer's three tables are made.
+        spark, rows = self.logs.sparkSession, newest(found, limit + 1).select("ts", *LOG_COLS).collect()
+        events = spark.createDataFrame(rows[:limit], found.select("ts", *LOG_COLS).schema)
+        summary = spark.createDataFrame([(len(rows) > limit, len(rows[:limit]), len({r["hostname"] for r in rows[:limit]}))], "truncated boolean, total_events long, total_hosts long")
+        return Correlation(params["reference_time"], render_utc(at - delta), render_utc(at + delta), severity_min, log_columns(newest(events, limit)), aggregates.by_host(events), summary)
 
     def stats(self) -> DataFrame:
         """One row of counts; with storage figures, also sizes in MB as text, the limits and whether writing is blocked."""
