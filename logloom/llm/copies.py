@@ -11,8 +11,9 @@ find the candidates: for such a radius each segment of 8 bits may differ in 2, s
 texts one pair in seven agrees that well on a segment.
 
 Equal texts are one node. A key of up to three nodes gives all its pairs, from sums by key alone. A key of more, a crowd,
-gives a star around its least node; what is still apart after that is compared with the nearest of the crowd, and pairs
-apart after that, and only these, are all compared.
+gives a star around its least node. Nodes of a crowd that are still apart after that are compared by fingerprint, in blocks
+within tasks; those within the radius make families, and the texts of a family are compared in blocks as well. Both put out
+stars, so that rows grow with a crowd and not with its square.
 """
 
 from __future__ import annotations
@@ -217,20 +218,125 @@ def node_components(docs: DataFrame, nodes: DataFrame, width: int, similarity: f
     edges = checkpointed(edges.union(verified(rest, nodes, docs, width, similarity)))
     parts = checkpointed(connected_components(edges))
 
-    crowd, tried = shared.where("m > 3").select("key", "sig", F.col("a").alias("hub")), None
-    for last in (False, True):
-        placed = crowd.join(parts, F.col("sig") == F.col("node"), "left").select("key", "sig", "hub", F.coalesce("component", "sig").alias("c"))
-        split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        placed = checkpointed(placed.join(split, "key").join(nodes.select("sig", "n", *_FP), "sig"))
-        if placed.isEmpty():
-            break
-        side = lambda s: placed.where("sig <> hub").select("key", *[F.col(c).alias(new) for c, new in (("sig", s), ("c", f"c_{s}"), *((c, f"{s}_{c}") for c in ("n", *_FP)))])  # noqa: E731, B023
-        met = side("u").join(side("v"), "key").where("u < v AND c_u <> c_v").where(possible(similarity, radius)).select("u", "v", distance().alias("h"))
-        chosen = met.select("u", "v").distinct() if last else _nearest(met)
-        chosen = checkpointed(chosen if tried is None else chosen.join(tried, ["u", "v"], "left_anti"))
-        edges = checkpointed(edges.union(verified(chosen, nodes, docs, width, similarity)))
-        parts, tried = checkpointed(connected_components(edges)), chosen
-    return parts
+    crowd = shared.where("m > 3").select("key", "sig", "m")
+    placed = crowd.join(parts, F.col("sig") == F.col("node"), "left").select("key", "sig", "m", F.coalesce("component", "sig").alias("c"))
+    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    placed = checkpointed(placed.join(split, "key").join(nodes.select("sig", "n", *_FP), "sig"))
+    if placed.isEmpty():
+        return parts
+    families = checkpointed(connected_components(close_stars(placed, similarity, radius)))
+    found = verified_in_blocks(families, parts, nodes, docs, width, similarity)
+    return checkpointed(connected_components(edges.union(found)))
+
+
+def _in_blocks(rows: DataFrame, size: Column, by: Column, block: int) -> DataFrame:
+    """Copies of rows, one for each pair of blocks (i <= j) of their group that has theirs (b); a group has ceil(size / block)."""
+    many = F.greatest(F.lit(1), F.ceil(size / block)).cast("int")
+    rows = rows.withColumn("many", many).withColumn("b", F.pmod(F.xxhash64(F.lit(9), by), F.col("many")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    return rows.withColumns({"i": F.least("b", "other"), "j": F.greatest("b", "other")}).drop("many", "other")
+
+
+def star_edges(label: np.ndarray, near: Iterator[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Edges (a, b) that join all rows a with those near to them, as few as there are labels to merge. label is changed."""
+    out = []
+    for a, close in near:
+        for x in np.unique(label[close]).tolist():
+            if x != label[a]:
+                out.append((a, int(close[label[close] == x][0])))
+                label[label == x] = label[a]
+    return out
+
+
+def _sides(b: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.flatnonzero(b == i), np.flatnonzero(b == j)
+
+
+def close_stars(placed: DataFrame, similarity: float, radius: int, block: int = 2048) -> DataFrame:
+    """u, v: edges that connect the nodes of one key (key, m, sig, c, n, fingerprint) which are possible pairs and apart.
+
+    A crowd is compared in blocks within tasks; what comes out are stars, so rows grow with the crowd and not its square.
+    """
+    rows = _in_blocks(placed, F.col("m"), F.col("sig"), block).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def compare(pdf: pd.DataFrame) -> np.ndarray:
+        fp, n, c, sig = pdf[_FP].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(np.int64), pdf["c"].to_numpy(), pdf["sig"].to_numpy()
+        left, right = _sides(pdf["b"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0])
+
+        def near():
+            for a in left:
+                away = np.bitwise_count(fp[right] ^ fp[a]).sum(axis=1, dtype=np.int64)
+                small, large = np.minimum(n[right], n[a]), np.maximum(n[right], n[a])
+                yield a, right[(c[right] != c[a]) & (small >= similarity * large - 1e-9) & ((small < FEW) | (away <= radius))]
+
+        pairs = star_edges(np.arange(len(pdf)), near())
+        return sig[np.array(pairs, np.int64).reshape(-1, 2)]
+
+    def groups(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each group of a sorted partition, whole, however the batches cut it."""
+        held: list[pd.DataFrame] = []
+        for pdf in parts:
+            keys = pdf[["key", "i", "j"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
+            for at, to in zip(cuts, cuts[1:]):
+                if at or (held and tuple(held[-1][["key", "i", "j"]].iloc[-1]) != tuple(keys[0])):
+                    yield pd.concat(held)
+                    held = []
+                held.append(pdf.iloc[at:to])
+        if held:
+            yield pd.concat(held)
+
+    def stars(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
+        for pdf in groups(parts):
+            out.append(compare(pdf))
+            size += len(out[-1])
+            if size > 50_000:
+                yield pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["u", "v"])
+                out, size = [], 0
+        if size:
+            yield pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["u", "v"])
+
+    return rows.mapInPandas(stars, "u long, v long")
+
+
+def near_in_block(left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], apart, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of left with those rows of right that are apart from it and share enough occurrences with it."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owners = np.repeat(np.arange(len(right)), sizes[right])
+    everything = np.concatenate([sets[x] for x in right]) if len(right) else np.zeros(0, np.int64)
+    order = np.argsort(everything, kind="stable")
+    everything, owners = everything[order], owners[order]
+    for a in left:
+        first, last = np.searchsorted(everything, sets[a]), np.searchsorted(everything, sets[a], side="right")
+        size = last - first
+        # The places first..last of all of a's occurrences, one after the other.
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        shared = np.bincount(owners[at], minlength=len(right))
+        enough = shared >= similarity * (sizes[a] + sizes[right] - shared) - 1e-9
+        yield a, right[enough & apart(a, right)]
+
+
+def verified_in_blocks(families: DataFrame, parts: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float, block: int = 512) -> DataFrame:
+    """u, v: edges that connect the nodes of a family (node, component) whose texts have at least the similarity and are
+    in different parts. A node's set travels once for each block of its family."""
+    own = families.select(F.col("node").alias("sig"), F.col("component").alias("family"))
+    sizes = own.groupBy("family").agg(F.count("*").alias("m"))
+    own = own.join(sizes, "family").join(parts, F.col("sig") == F.col("node"), "left").select("sig", "family", "m", F.coalesce("component", "sig").alias("c"))
+    own = checkpointed(own.join(nodes.select("sig", "tkey"), "sig"))
+    some = F.broadcast(own) if own.count() <= BROADCAST_NODES else own
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"), "text").join(some, "tkey").groupBy("sig", "family", "m", "c").agg(F.min("text").alias("text"))
+    sets = _in_blocks(texts.select("sig", "family", "m", "c", occurrence_column(F.col("text"), width).alias("hs")), F.col("m"), F.col("sig"), block)
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = _sides(pdf["b"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0])
+        sig, c = pdf["sig"].to_numpy(), pdf["c"].to_numpy()
+        label = np.unique(c, return_inverse=True)[1].astype(np.int64)
+        hs = [np.asarray(x, np.int64) for x in pdf["hs"]]
+        pairs = star_edges(label, near_in_block(left, right, hs, lambda a, others: label[others] != label[a], similarity))
+        return pd.DataFrame(sig[np.array(pairs, np.int64).reshape(-1, 2)], columns=["u", "v"])
+
+    return checkpointed(sets.groupBy("family", "i", "j").applyInPandas(verify, "u long, v long"))
 
 
 def near_copies(docs: DataFrame, row: Column, *extra: Column, width: int = 5, similarity: float = 0.8, radius: int = 68) -> DataFrame:
