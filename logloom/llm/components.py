@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from logloom.llm.common import checkpointed
 
 
+#: So many edges (16 bytes each) a task reads.
+EDGES_A_TASK = 500_000
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, component: the smallest node reachable from each node of edges (u, v), longs.
 
@@ -22,10 +26,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == before or mark["n"] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = mark
+        # Small tables need few tasks: every task of a shuffle writes files of its own.
+        now = now.coalesce(max(1, -(-mark["n"] // EDGES_A_TASK)))
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = checkpointed(small.union(least.select("u", F.col("m").alias("v"))).distinct())

@@ -213,10 +213,11 @@ def node_components(docs: DataFrame, nodes: DataFrame, width: int, similarity: f
     pairs = checkpointed(_described(first_candidates(shared), nodes).where(possible(similarity, radius)).select("u", "v", distance().alias("h")))
     nearest = checkpointed(_nearest(pairs))
     edges = verified(nearest, nodes, docs, width, similarity)
-    parts = checkpointed(connected_components(edges))
+    parts = connected_components(edges)
     rest = checkpointed(_apart(pairs.select("u", "v"), parts).join(nearest, ["u", "v"], "left_anti"))
-    edges = checkpointed(edges.union(verified(rest, nodes, docs, width, similarity)))
-    parts = checkpointed(connected_components(edges))
+    if not rest.isEmpty():
+        edges = checkpointed(edges.union(verified(rest, nodes, docs, width, similarity)))
+        parts = connected_components(edges)
 
     crowd = shared.where("m > 3").select("key", "sig", "m")
     placed = crowd.join(parts, F.col("sig") == F.col("node"), "left").select("key", "sig", "m", F.coalesce("component", "sig").alias("c"))
@@ -224,9 +225,9 @@ def node_components(docs: DataFrame, nodes: DataFrame, width: int, similarity: f
     placed = checkpointed(placed.join(split, "key").join(nodes.select("sig", "n", *_FP), "sig"))
     if placed.isEmpty():
         return parts
-    families = checkpointed(connected_components(close_stars(placed, similarity, radius)))
+    families = connected_components(close_stars(placed, similarity, radius))
     found = verified_in_blocks(families, parts, nodes, docs, width, similarity)
-    return checkpointed(connected_components(edges.union(found)))
+    return connected_components(edges.union(found))
 
 
 def _in_blocks(rows: DataFrame, size: Column, by: Column, block: int) -> DataFrame:
