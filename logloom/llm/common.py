@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of the whitespace kind: runs of anything but space and 0x09-0x0D.
@@ -49,6 +49,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with a column name that counts them from 0 in the given order (nulls first), without bringing all into one task.
+
+    They are sorted over range partitions and written to the shared folder together with their partition and their place in
+    it; the partitions' sizes, a row for each, then give where each begins. Rows equal in the whole order take any turn.
+    """
+    part, place = free_names(rows.columns, "part", "place")
+    here = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({part: F.spark_partition_id(), place: here}))
+    sizes = dealt.groupBy(part).agg(F.count("*").alias("rows"))
+    begins = sizes.select(part, (F.sum("rows").over(Window.orderBy(part)) - F.col("rows")).alias("begins_"))
+    return dealt.join(F.broadcast(begins), part).withColumn(name, F.col("begins_") + F.col(place)).drop(part, place, "begins_")
+
+
 def free_names(taken, *wanted: str) -> list[str]:
     """Column names like those wanted that are not among the taken ones, whatever their case."""
     out, taken = [], {c.lower() for c in taken}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm.common import load
+from logloom.llm.merkle_sql import merkle_sql
 
 
 def op1_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +72,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.whitening import whiten
+
+    return whiten(load(spark, sf_dir, "embeddings"))
+
+
+def op12_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.sharding import shard
+
+    return shard(load(spark, sf_dir, "documents"), 40, law="rows").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op13_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.merkle import merkle_proofs
+
+    cut = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    return merkle_proofs(load(spark, sf_dir, "documents"), cut, F.crc32(F.col("doc_id").cast("string")) % 2 == 0)
+
+
 OP6_SQL = r"""
 WITH parts AS (
   SELECT page_id,
@@ -105,4 +125,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL, "op9_substring_dedup": OP9_SQL}
+    return {"op6_url_filter": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op13_merkle_proofs": merkle_sql()}
