@@ -1,7 +1,8 @@
 """python -m logloom STORE ACTION [NAME=VALUE ...]: answers a request over a store, a JSON object for each row.
 
 Besides there are purge (drops what is older than the retention), budget (lets the oldest rows go until the storage budget
-holds) and maintain (both), for a timer to call; config=FILE names the settings, LOGLOOM_* variables overrule it.
+holds), compact (merges parts) and maintain (all three); config=FILE names the settings, LOGLOOM_* variables overrule it.
+Streams do the same by themselves (streaming/upkeep.py); doing it from another process beside them is safe.
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.plans.service import ACTIONS, Correlation, LogEngine, Storage
+from logloom.plans.service import ACTIONS, Correlation, StoreEngine
 from logloom.schema import Busy, InvalidInput, QueryFailed
-from logloom.settings import Settings, load_settings
+from logloom.settings import load_settings
 from logloom.streaming.store import LogStore
+from logloom.streaming.upkeep import budget, compact, purge
 
-UPKEEP = ("purge", "budget", "maintain")
+UPKEEP = {"purge": (purge,), "budget": (budget,), "compact": (compact,), "maintain": (purge, budget, compact)}
 USAGE = f"{__doc__}\nActions: {', '.join((*ACTIONS, *UPKEEP))}"
 
 
@@ -31,18 +33,6 @@ def show(df: DataFrame) -> None:
         print(row)
 
 
-def upkeep(store: LogStore, action: str, settings: Settings) -> dict:
-    """What purge, budget or maintain did."""
-    done: dict = {}
-    if action in ("purge", "maintain"):
-        done["purged"] = store.purge(settings.cutoff())
-        store.vacuum()
-    if action in ("budget", "maintain"):
-        outcome = store.enforce(settings.budget)
-        done |= {"deleted": outcome.deleted, "write_blocked": outcome.write_blocked}
-    return done
-
-
 def main(words: list[str]) -> int:
     if len(words) < 2 or words[1] not in (*ACTIONS, *UPKEEP) or any("=" not in w for w in words[2:]):
         print(USAGE, file=sys.stderr)
@@ -53,13 +43,12 @@ def main(words: list[str]) -> int:
         given = parameters(words[2:])
         settings = load_settings(given.pop("config", None))
         if words[1] in UPKEEP:
-            print(json.dumps(upkeep(store, words[1], settings)))
+            done: dict = {}
+            for piece in UPKEEP[words[1]]:
+                done |= piece(store, settings)
+            print(json.dumps(done))
             return 0
-        storage = None
-        if words[1] == "stats":
-            now = store.metrics()
-            storage = Storage(now.logical, now.physical, now.free, settings.budget)
-        answer = LogEngine(store.logs(), store.hosts(), storage).run(words[1], **given)
+        answer = StoreEngine(store, settings.budget if words[1] == "stats" else None).run(words[1], **given)
     except (InvalidInput, QueryFailed, Busy) as error:
         print(error, file=sys.stderr)
         return 1

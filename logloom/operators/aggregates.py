@@ -21,11 +21,11 @@ def live_hosts(logs: DataFrame) -> DataFrame:
 
 
 def merge_hosts(hosts: DataFrame, batch: DataFrame, at) -> DataFrame:
-    """The registry after a batch of rows arrived at `at`: counts add up, first_seen stays, last_seen is at."""
+    """The registry after a batch of rows arrived at `at`: counts add up, first_seen and last_seen take in at."""
     new = batch.groupBy("hostname").agg(F.count("*").alias("n"))
     both = hosts.join(new, "hostname", "full_outer")
     seen = F.when(F.col("n").isNotNull(), at)
-    return both.select("hostname", F.coalesce("first_seen", seen).alias("first_seen"), F.coalesce(seen, "last_seen").alias("last_seen"), (F.coalesce("log_count", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("bigint").alias("log_count"))
+    return both.select("hostname", F.least("first_seen", seen).alias("first_seen"), F.greatest("last_seen", seen).alias("last_seen"), (F.coalesce("log_count", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("bigint").alias("log_count"))
 
 
 def reconcile_hosts(hosts: DataFrame, logs: DataFrame, affected: DataFrame) -> DataFrame:

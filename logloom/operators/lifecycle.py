@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,42 +28,57 @@ def oldest(logs: DataFrame, n: int) -> DataFrame:
     return logs.orderBy("received_at", "id").limit(n)
 
 
-LEVELS = ("day", "minute", "second")
+def sums_by(logs: DataFrame, level: str) -> list[tuple]:
+    """(start, bytes, rows) of each minute or second of arrival that has rows."""
+    sums = logs.groupBy(F.date_trunc(level, "received_at").alias("at")).agg(F.sum(row_bytes(logs)).alias("s"), F.count("*").alias("n"))
+    return [(r["at"], r["s"], r["n"]) for r in sums.collect()]
 
 
-def _walk(logs: DataFrame, size: Column, room: int, newest_first: bool) -> tuple[int, tuple | None]:
+def walk(sums: list[tuple], measure: int, room: int, newest_first: bool) -> tuple[int, int, object]:
+    """How many rows of whole spans fit into room from one end, what room is left, and the span that does not fit whole.
+
+    sums holds (span, bytes, rows); measure says which of the two counts: 1 or 2.
+    """
+    passed = 0
+    for span in sorted(sums, reverse=newest_first):
+        if span[measure] > room:
+            return passed, room, span[0]
+        room, passed = room - span[measure], passed + span[2]
+    return passed, room, None
+
+
+def edge(logs: DataFrame, sums: list[tuple], measure: int, room: int, newest_first: bool) -> tuple[int, tuple | None]:
     """How many rows from one end of the order (received_at, id) fit into room, and the first that does not (None: all fit).
 
-    Sums by day, then by minute of one day, then by second of one minute tell where that row is, so that only the rows of
-    one second are put in order; the driver holds a number for each day.
+    sums are those by minute. Of one minute the seconds are summed, and only the rows of one second are put in order.
     """
+    passed, room, at = walk(sums, measure, room, newest_first)
+    if at is None:
+        return passed, None
+    kind, got, rows = logs.schema["received_at"].dataType, F.col("received_at"), logs
+    inside = lambda at, span: (got >= F.lit(at).cast(kind)) & (got < F.lit(at + span).cast(kind))
+    rows = logs.where(inside(at, timedelta(minutes=1)))
+    more, room, at = walk(sums_by(rows, "second"), measure, room, newest_first)
+    size = row_bytes(logs) if measure == 1 else F.lit(1)
     end = (lambda c: F.col(c).desc()) if newest_first else F.col
-    passed, rows = 0, logs
-    for level in LEVELS:
-        at = F.date_trunc(level, "received_at")
-        beyond = None
-        for r in rows.groupBy(at.alias("at")).agg(F.sum(size).alias("s"), F.count("*").alias("n")).orderBy(end("at")).toLocalIterator():
-            if r["s"] > room:
-                beyond = r["at"]
-                break
-            room, passed = room - r["s"], passed + r["n"]
-        if beyond is None:
-            return passed, None
-        rows = rows.where(at == F.lit(beyond))
     order = Window.orderBy(end("received_at"), end("id"))
-    running = rows.select("received_at", "id", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("sum"), F.row_number().over(order).alias("nth"))
+    running = rows.where(inside(at, timedelta(seconds=1))).select("received_at", "id", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("sum"), F.row_number().over(order).alias("nth"))
     first = running.where(F.col("sum") > room).orderBy("nth").first()
-    return passed + first["nth"] - 1, (first["received_at"], first["id"])
+    return passed + more + first["nth"] - 1, (first["received_at"], first["id"])
 
 
 def budget_cutoff(logs: DataFrame, max_bytes: int, chunk: int = 2000) -> tuple[int, tuple | None]:
-    """How many rows go when chunks of the oldest do until at most max_bytes remain, and (received_at, id) of the oldest that stays."""
-    kept, over = _walk(logs, row_bytes(logs), max_bytes, newest_first=True)
+    """How many rows go when chunks of the oldest do until at most max_bytes remain, and (received_at, id) of the oldest that stays.
+
+    One pass sums all rows by minute, of which the driver holds a line each; after it only two minutes are read.
+    """
+    sums = sums_by(logs, "minute")
+    total = sum(n for _, _, n in sums)
+    kept, over = edge(logs, sums, 1, max_bytes, newest_first=True)
     if over is None:
         return 0, None
-    total = logs.count()
     gone = min(total, -(-(total - kept) // chunk) * chunk)
-    return gone, _walk(logs, F.lit(1), gone, newest_first=False)[1]
+    return gone, edge(logs, sums, 2, gone, newest_first=False)[1]
 
 
 def not_before(logs: DataFrame, first: tuple) -> DataFrame:

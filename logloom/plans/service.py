@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import timedelta
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.parse import megabytes
@@ -14,6 +14,8 @@ from logloom.operators import aggregates
 from logloom.operators.filters import at_or_above, filtered, log_columns, newest
 from logloom.operators.lifecycle import Budget
 from logloom.schema import LOG_COLS, InvalidInput
+from logloom.streaming.parts import latest_above, newest_first, within
+from logloom.streaming.store import LogStore
 
 SEARCH_LIMIT, SEARCH_CAP, TAIL_LIMIT, TAIL_CAP = 100, 1000, 50, 500
 CORRELATE_LIMIT, CORRELATE_CAP, WINDOW_MINUTES, WINDOW_CAP = 500, 999, 5, 60
@@ -71,6 +73,16 @@ class LogEngine:
     def __init__(self, logs: DataFrame, hosts: DataFrame | None = None, storage: Storage | None = None):
         self.logs, self.registry, self.storage = logs, hosts, storage
 
+    def rows(self, start: datetime | None = None, end: datetime | None = None, **_) -> DataFrame:
+        """Rows among which all of a time from start to end are."""
+        return self.logs
+
+    def newest(self, limit: int, **conditions) -> DataFrame:
+        return newest(filtered(self.rows(**conditions), **conditions), limit)
+
+    def counts(self) -> DataFrame:
+        return aggregates.counts(self.logs, self.registry)
+
     @staticmethod
     def _bounds(params: dict) -> dict:
         return {name: parse_rfc3339(params[key], key) for name, key in (("start", "from"), ("end", "to")) if params.get(key) is not None}
@@ -78,15 +90,14 @@ class LogEngine:
     def search(self, **params) -> DataFrame:
         """The newest rows that meet all given options; an unknown severity meets none."""
         same = {k: params.get(k) for k in ("query", "hostname", "source_ip", "severity", "app_name")}
-        found = filtered(self.logs, **same, **self._bounds(params))
-        return log_columns(newest(found, number(params.get("limit"), SEARCH_LIMIT, SEARCH_CAP, "limit")))
+        return log_columns(self.newest(number(params.get("limit"), SEARCH_LIMIT, SEARCH_CAP, "limit"), **same, **self._bounds(params)))
 
     def tail(self, **params) -> DataFrame:
-        found = filtered(self.logs, **{k: params.get(k) for k in ("hostname", "source_ip", "app_name")})
-        return log_columns(newest(found, number(params.get("n"), TAIL_LIMIT, TAIL_CAP, "n")))
+        return log_columns(self.newest(number(params.get("n"), TAIL_LIMIT, TAIL_CAP, "n"), **{k: params.get(k) for k in ("hostname", "source_ip", "app_name")}))
 
     def errors(self, **params) -> DataFrame:
-        return aggregates.error_summary(filtered(self.logs, **self._bounds(params)))
+        bounds = self._bounds(params)
+        return aggregates.error_summary(filtered(self.rows(**bounds), **bounds))
 
     def hosts(self, live: bool = False) -> DataFrame:
         """The registry, which counts rows as they came in, or with live the rows there are; last seen first."""
@@ -102,16 +113,17 @@ class LogEngine:
         limit = number(params.get("limit"), CORRELATE_LIMIT, CORRELATE_CAP, "limit")
         severity_min = params.get("severity_min") or "warning"
         same = {k: params.get(k) for k in ("query", "hostname", "source_ip")}
-        found = filtered(self.logs, **same, severity_in=at_or_above(severity_min), start=at - delta, end=at + delta)
-        # One read of the window: at most CORRELATE_CAP + 1 rows, of which the answer's three tables are made.
-        spark, rows = self.logs.sparkSession, newest(found, limit + 1).select("ts", *LOG_COLS).collect()
-        events = spark.createDataFrame(rows[:limit], found.select("ts", *LOG_COLS).schema)
-        summary = spark.createDataFrame([(len(rows) > limit, len(rows[:limit]), len({r["hostname"] for r in rows[:limit]}))], "truncated boolean, total_events long, total_hosts long")
-        return Correlation(params["reference_time"], render_utc(at - delta), render_utc(at + delta), severity_min, log_columns(newest(events, limit)), aggregates.by_host(events), summary)
+        bounds = {"start": at - delta, "end": at + delta}
+        found = filtered(self.rows(**bounds), **same, severity_in=at_or_above(severity_min), **bounds)
+        # The answer's three tables are plans over the window of at most CORRELATE_CAP + 1 rows; nothing is read before one is asked for.
+        events, nth = newest(found, limit), F.row_number().over(Window.orderBy(F.col("ts").desc(), F.col("id").desc()))
+        shown = newest(found, limit + 1).select("hostname", (nth <= limit).alias("shown"))
+        summary = shown.agg((F.count("*") > limit).alias("truncated"), F.count_if("shown").alias("total_events"), F.count_distinct(F.when(F.col("shown"), F.col("hostname"))).alias("total_hosts"))
+        return Correlation(params["reference_time"], render_utc(at - delta), render_utc(at + delta), severity_min, log_columns(events), aggregates.by_host(events), summary)
 
     def stats(self) -> DataFrame:
         """One row of counts; with storage figures, also sizes in MB as text, the limits and whether writing is blocked."""
-        found, s = aggregates.counts(self.logs, self.registry), self.storage
+        found, s = self.counts(), self.storage
         if s is None:
             return found
         mb = lambda n: megabytes(F.lit(n).cast("long"))
@@ -129,3 +141,38 @@ class LogEngine:
         if action not in ACTIONS:
             raise InvalidInput(f"unknown action {action!r}; one of {', '.join(ACTIONS)}")
         return getattr(self, action)(**params)
+
+
+class StoreEngine(LogEngine):
+    """Answers requests over a store as it is now; parts that cannot hold a row of the answer are not read."""
+
+    def __init__(self, store: LogStore, budget: Budget | None = None):
+        self.store, self.parts = store, store.state()["parts"]
+        now = store.metrics() if budget else None
+        super().__init__(store.rows_of(self.parts), store.hosts(), now and Storage(now.logical, now.physical, now.free, budget))
+
+    def rows(self, start: datetime | None = None, end: datetime | None = None, **_) -> DataFrame:
+        return self.store.rows_of(within(self.parts, start, end))
+
+    def newest(self, limit: int, start: datetime | None = None, end: datetime | None = None, **conditions) -> DataFrame:
+        """The newest parts are read first, four times as many each time, until none of the others can hold a newer row.
+
+        A row is sure of its place if it is later than all that the unread parts can hold. Without conditions the parts' counts
+        tell that enough are; else they are counted, up to limit.
+        """
+        parts, given = newest_first(within(self.parts, start, end)), any(v is not None for v in (start, end, *conditions.values()))
+        take = 1
+        while take < len(parts):
+            read, floor = parts[:take], latest_above(parts[take:])
+            found = filtered(self.store.rows_of(read), start=start, end=end, **conditions)
+            sure = found.where("ts IS NOT NULL" if floor is None else F.unix_micros("ts") > floor)
+            if given and sure.limit(limit).count() >= limit or not given and sum(p.dated for p in read if p.dated and (floor is None or p.first_ts > floor)) >= limit:
+                return newest(sure, limit)
+            take *= 4
+        return newest(filtered(self.store.rows_of(parts), start=start, end=end, **conditions), limit)
+
+    def counts(self) -> DataFrame:
+        """From the parts' figures; only the registry is read."""
+        stamps = (min((p.first_stamp for p in self.parts), default=None), max((p.last_stamp for p in self.parts), default=None))
+        figures = {"oldest_log": F.lit(stamps[0]).cast("string"), "newest_log": F.lit(stamps[1]).cast("string"), "phantom_fts_rows": F.lit(0).cast("long")}
+        return self.registry.agg(F.count("*").alias("total_hosts")).select(F.lit(sum(p.n for p in self.parts)).cast("long").alias("total_logs"), "total_hosts", *(v.alias(k) for k, v in figures.items()))

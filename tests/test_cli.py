@@ -18,6 +18,6 @@ def test_requests_over_a_store(spark, tmp_path, capsys):
     stats = json.loads(capsys.readouterr().out)
     assert stats["total_hosts"] == 1 and stats["max_db_size_mb"] == 1024 and stats["write_blocked"] is False and len(stats) == 11
     assert main([str(tmp_path), "maintain"]) == 0
-    assert json.loads(capsys.readouterr().out) == {"purged": 1, "deleted": 0, "write_blocked": False}
+    assert json.loads(capsys.readouterr().out) == {"purged": 1, "deleted": 0, "write_blocked": False, "merged": 0}
     assert main([str(tmp_path), "correlate"]) == 1 and main(["x", "nope"]) == 2
     assert parameters(["a=1", "b=x=y"]) == {"a": 1, "b": "x=y"}
