@@ -86,6 +86,42 @@ def _lex(text: str) -> list[tuple[str, str]]:
     return out
 
 
+#: A stem that a row must have, True if it is the beginning of one.
+Stem = tuple[str, bool]
+#: Alternatives kept when conditions are joined; beyond them one side's alone are needed, which is also true.
+MOST_ALTERNATIVES = 64
+
+
+@dataclass(frozen=True)
+class Found:
+    """A condition, and what a row that meets it must have: all stems of one of the alternatives. No alternative: no row meets it."""
+
+    column: Column
+    needs: tuple[frozenset[Stem], ...]
+
+    def __and__(self, other: Found) -> Found:
+        both = tuple(dict.fromkeys(a | b for a in self.needs for b in other.needs))
+        return Found(self.column & other.column, both if len(both) <= MOST_ALTERNATIVES else min(self.needs, other.needs, key=len))
+
+    def __or__(self, other: Found) -> Found:
+        return Found(self.column | other.column, tuple(dict.fromkeys(self.needs + other.needs)))
+
+    def but_not(self, other: Found) -> Found:
+        return Found(self.column & ~other.column, self.needs)
+
+
+NOWHERE = ()
+
+
+def _nothing() -> Found:
+    return Found(F.lit(False), NOWHERE)
+
+
+def _all_of(column: Column, phrases: list[Phrase]) -> Found:
+    stems = frozenset((s, p.prefix and k == len(p.stems) - 1) for p in phrases for k, s in enumerate(p.stems))
+    return Found(column, (stems,) if stems else NOWHERE)
+
+
 class _Expression:
     """Reads one expression into a condition. OR binds least, then AND, NOT, and words side by side."""
 
@@ -107,32 +143,32 @@ class _Expression:
             return True
         return False
 
-    def any_of(self) -> Column:
+    def any_of(self) -> Found:
         out = self.all_of()
         while self.operator("OR"):
             out = _both(out, self.all_of(), or_)
         return out
 
-    def all_of(self) -> Column:
+    def all_of(self) -> Found:
         out = self.but_not()
         while self.operator("AND"):
             out = _both(out, self.but_not(), and_)
         return out
 
-    def but_not(self) -> Column:
+    def but_not(self) -> Found:
         out = self.part()
         while self.operator("NOT"):
             more = self.part()
-            out = out if out is None or more is None else out & ~more
+            out = out if out is None or more is None else out.but_not(more)
         return out
 
-    def part(self) -> Column:
+    def part(self) -> Found:
         negated = self.columns()
         if self.peek()[0] == "(":
             self.take("(")
             out = self.any_of()
             self.take(")")
-            return F.lit(False) if negated else out
+            return _nothing() if negated else out
         out = self.group(negated)
         while self.starts_group():
             out = _both(out, self.group(self.columns()), and_)
@@ -164,7 +200,7 @@ class _Expression:
             raise QueryFailed("Search query failed")
         return negated
 
-    def group(self, negated: bool) -> Column:
+    def group(self, negated: bool) -> Found:
         if self.peek() == ("word", "NEAR") and self.peek(1)[0] == "(":
             self.take("word"), self.take("(")
             phrases, distance = [self.phrase()], 10
@@ -177,12 +213,12 @@ class _Expression:
                     raise QueryFailed("Search query failed")
                 distance = int(number)
             self.take(")")
-            return F.lit(False) if negated else near(self.tokens, phrases, distance)
+            return _nothing() if negated else _all_of(near(self.tokens, phrases, distance), phrases)
         first = self.peek()[0] == "^"
         if first:
             self.take("^")
         phrase = self.phrase(first)
-        return F.lit(False) if negated else has_phrase(self.tokens, phrase) if phrase.stems else None
+        return _nothing() if negated else _all_of(has_phrase(self.tokens, phrase), [phrase]) if phrase.stems else None
 
     def phrase(self, first: bool = False) -> Phrase:
         stems, prefix = [], False
@@ -200,12 +236,12 @@ class _Expression:
             self.at += 1
 
 
-def _both(a: Column | None, b: Column | None, join) -> Column | None:
+def _both(a: Found | None, b: Found | None, join) -> Found | None:
     """a and b joined; an empty phrase (None) leaves the other."""
     return b if a is None else a if b is None else join(a, b)
 
 
-def matches(tokens: Column, query: str) -> Column:
+def search(tokens: Column, query: str) -> Found:
     """The condition of a search expression; InvalidInput if it is too long, QueryFailed if it can't be read."""
     if len(query.encode()) > MAX_BYTES:
         raise InvalidInput(f"query is longer than {MAX_BYTES} bytes")
@@ -214,4 +250,8 @@ def matches(tokens: Column, query: str) -> Column:
     expression = _Expression(query, tokens)
     out = expression.any_of()
     expression.take("end") if expression.at < len(expression.items) else None
-    return F.lit(False) if out is None else out
+    return _nothing() if out is None else out
+
+
+def matches(tokens: Column, query: str) -> Column:
+    return search(tokens, query).column

@@ -15,6 +15,7 @@ from logloom.operators.filters import at_or_above, filtered, log_columns, newest
 from logloom.operators.lifecycle import Budget
 from logloom.schema import LOG_COLS, InvalidInput
 from logloom.streaming.parts import latest_above, newest_first, within
+from logloom.streaming.postings import candidates
 from logloom.streaming.store import LogStore
 
 SEARCH_LIMIT, SEARCH_CAP, TAIL_LIMIT, TAIL_CAP = 100, 1000, 50, 500
@@ -114,7 +115,7 @@ class LogEngine:
         severity_min = params.get("severity_min") or "warning"
         same = {k: params.get(k) for k in ("query", "hostname", "source_ip")}
         bounds = {"start": at - delta, "end": at + delta}
-        found = filtered(self.rows(**bounds), **same, severity_in=at_or_above(severity_min), **bounds)
+        found = filtered(self.rows(**bounds, query=same["query"]), **same, severity_in=at_or_above(severity_min), **bounds)
         # The answer's three tables are plans over the window of at most CORRELATE_CAP + 1 rows; nothing is read before one is asked for.
         events, nth = newest(found, limit), F.row_number().over(Window.orderBy(F.col("ts").desc(), F.col("id").desc()))
         shown = newest(found, limit + 1).select("hostname", (nth <= limit).alias("shown"))
@@ -151,8 +152,8 @@ class StoreEngine(LogEngine):
         now = store.metrics() if budget else None
         super().__init__(store.rows_of(self.parts), store.hosts(), now and Storage(now.logical, now.physical, now.free, budget))
 
-    def rows(self, start: datetime | None = None, end: datetime | None = None, **_) -> DataFrame:
-        return self.store.rows_of(within(self.parts, start, end))
+    def rows(self, start: datetime | None = None, end: datetime | None = None, query: str | None = None, **_) -> DataFrame:
+        return candidates(self.store, within(self.parts, start, end), query)
 
     def newest(self, limit: int, start: datetime | None = None, end: datetime | None = None, **conditions) -> DataFrame:
         """The newest parts are read first, four times as many each time, until none of the others can hold a newer row.
@@ -164,12 +165,12 @@ class StoreEngine(LogEngine):
         take = 1
         while take < len(parts):
             read, floor = parts[:take], latest_above(parts[take:])
-            found = filtered(self.store.rows_of(read), start=start, end=end, **conditions)
+            found = filtered(candidates(self.store, read, conditions.get("query")), start=start, end=end, **conditions)
             sure = found.where("ts IS NOT NULL" if floor is None else F.unix_micros("ts") > floor)
             if given and sure.limit(limit).count() >= limit or not given and sum(p.dated for p in read if p.dated and (floor is None or p.first_ts > floor)) >= limit:
                 return newest(sure, limit)
             take *= 4
-        return newest(filtered(self.store.rows_of(parts), start=start, end=end, **conditions), limit)
+        return newest(filtered(candidates(self.store, parts, conditions.get("query")), start=start, end=end, **conditions), limit)
 
     def counts(self) -> DataFrame:
         """From the parts' figures; only the registry is read."""

@@ -28,6 +28,7 @@ from logloom.operators.lifecycle import Budget, edge, not_before, sums_by, walk
 from logloom.schema import CHECKPOINTS, HOSTS, LOGS, Busy
 from logloom.streaming.files import Files
 from logloom.streaming.parts import DAY, SORTED, Part, day_of, figures, micros, to_merge, within
+from logloom.streaming.postings import write_postings
 
 FORMAT = 3
 NEW = {"format": FORMAT, "version": 0, "next_id": 1, "batches": {}, "write_blocked": False, "hosts": None, "checkpoints": None, "parts": []}
@@ -288,7 +289,7 @@ class LogStore:
         for group in to_merge(self.state()["parts"], today, rows):
             old = self.rows_of(group)
             if group[0].day < today:
-                new = self.write_parts(old, -(-sum(p.n for p in group) // rows), SORTED)
+                new = write_postings(self, self.write_parts(old, -(-sum(p.n for p in group) // rows), SORTED))
             else:
                 new = self.write_parts(old.coalesce(1), level=max(p.level for p in group) + 1)
             swapped = self._commit(lambda base: {"parts": [*(p for p in base["parts"] if p not in group), *new]} if all(p in base["parts"] for p in group) else None)
