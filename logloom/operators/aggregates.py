@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.parse import source_addr_ip
@@ -75,12 +75,31 @@ def with_state(rows: DataFrame, states: DataFrame) -> DataFrame:
     return rows.join(states.select("host_name", "container_id", "state"), ["host_name", "container_id"], "left")
 
 
+def _sender() -> Column:
+    return F.concat(F.col("hostname"), F.lit("@"), F.col("ip"), F.lit("="), F.col("n").cast("string"))
+
+
 def top_senders(logs: DataFrame, limit: int = 5) -> DataFrame:
     """One row, top: the most frequent host@ip=count, joined by a comma and a space."""
     sent = logs.groupBy("hostname", source_addr_ip(F.col("source_ip")).alias("ip")).agg(F.count("*").alias("n"))
     first = sent.orderBy(F.col("n").desc(), "hostname", "ip").limit(limit)
-    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "hostname", "ip", "n")))
-    return first.agg(order.alias("x")).select(F.array_join(F.transform("x", lambda s: F.concat(s.hostname, F.lit("@"), s.ip, F.lit("="), s.n.cast("string"))), ", ").alias("top"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "hostname", "ip", _sender().alias("text"))))
+    return first.agg(F.array_join(F.transform(order, lambda s: s.text), ", ").alias("top"))
+
+
+def sender_counts(logs: DataFrame, every: str = "60 seconds") -> DataFrame:
+    """window_start, hostname, ip, n: rows by window of arrival and sender, of a table or a stream."""
+    return logs.groupBy(F.window("received_at", every).alias("w"), "hostname", source_addr_ip(F.col("source_ip")).alias("ip")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "hostname", "ip", "n")
+
+
+def summary_of(counts: DataFrame, limit: int = 5) -> DataFrame:
+    """window_start, total, hosts, sources, top: the summary of each window, top being its most frequent host@ip=count."""
+    nth = F.row_number().over(Window.partitionBy("window_start").orderBy(F.col("n").desc(), "hostname", "ip"))
+    ranked = counts.withColumn("nth", nth)
+    first = F.array_sort(F.collect_list(F.when(F.col("nth") <= limit, F.struct("nth", _sender().alias("text")))))
+    sums = ranked.groupBy("window_start").agg(F.sum("n").alias("total"), F.count_distinct("hostname").alias("hosts"), F.count_distinct("ip").alias("sources"))
+    tops = ranked.where(F.col("nth") <= limit).groupBy("window_start").agg(F.array_join(F.transform(first, lambda s: s.text), ", ").alias("top"))
+    return sums.join(tops, "window_start").select("window_start", "total", "hosts", "sources", "top")
 
 
 def ingest_summary(logs: DataFrame, every: str = "60 seconds") -> DataFrame:

@@ -63,7 +63,7 @@ def edge(logs: DataFrame, sums: list[tuple], measure: int, room: int, newest_fir
     end = (lambda c: F.col(c).desc()) if newest_first else F.col
     order = Window.orderBy(end("received_at"), end("id"))
     running = rows.where(inside(at, timedelta(seconds=1))).select("received_at", "id", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("sum"), F.row_number().over(order).alias("nth"))
-    first = running.where(F.col("sum") > room).orderBy("nth").first()
+    first = running.where(F.col("sum") > room).agg(F.min(F.struct("nth", "received_at", "id")).alias("first")).first()["first"]
     return passed + more + first["nth"] - 1, (first["received_at"], first["id"])
 
 

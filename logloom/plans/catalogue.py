@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,11 @@ from logloom.functions.match import matches
 from logloom.functions.tokens import tokens
 from logloom.operators import aggregates, lifecycle
 from logloom.operators.filters import at_or_above, filtered, log_columns
-from logloom.plans.service import LogEngine, Storage
+from logloom.plans.service import LogEngine, Storage, StoreEngine
 from logloom.schema import ERROR_SEVERITIES, LOG_COLS
 from logloom.sources.events import LOGS_SQL, logs_view
+from logloom.sources.folders import shared_folder
+from logloom.streaming.store import LogStore
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -295,6 +298,17 @@ def top_senders(spark, sf_dir):
     return aggregates.top_senders(logs_view(spark, sf_dir))
 
 
+@query("""SELECT w AS window_start, CAST(sum(n) AS BIGINT) AS total, count(DISTINCT hostname) AS hosts, count(DISTINCT ip) AS sources,
+    string_agg(concat(hostname, '@', ip, '=', n), ', ' ORDER BY n DESC, hostname, ip) FILTER (nth <= 5) AS top FROM (
+    SELECT *, row_number() OVER (PARTITION BY w ORDER BY n DESC, hostname, ip) AS nth FROM (
+    SELECT date_trunc('hour', received_at) AS w, hostname, replace(source_ip, ':514', '') AS ip, count(*) AS n FROM logs GROUP BY ALL)) GROUP BY w""")
+def ingest_summary_senders(spark, sf_dir):
+    """The ingest summary with its senders, by the hour, so that windows hold several."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    summary = aggregates.summary_of(aggregates.sender_counts(logs_view(spark, sf_dir), "1 hour"))
+    return summary.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query(f"SELECT {COLS} FROM logs WHERE received_at >= TIMESTAMP '2024-01-20'")
 def retention_survivors(spark, sf_dir):
     return log_columns(lifecycle.retained(logs_view(spark, sf_dir), F.lit("2024-01-20").cast("timestamp_ntz")))
@@ -320,3 +334,62 @@ def reconcile_hosts(spark, sf_dir):
     logs = logs_view(spark, sf_dir)
     gone = lifecycle.oldest(logs, 15)
     return aggregates.reconcile_hosts(aggregates.live_hosts(logs), logs.join(gone.select("id"), "id", "left_anti"), gone)
+
+
+def _store(spark: SparkSession, sf_dir: str) -> tuple[LogStore, list[DataFrame]]:
+    """A new store in the shared folder, and the events as four batches that arrive in no order of time."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = logs_view(spark, sf_dir).withColumns({"raw": F.col("message"), "received_at": F.col("received_at").cast("timestamp")})
+    return LogStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"), [rows.where(F.col("id") % 4 == k).drop("id", "ts") for k in range(4)]
+
+
+def _filled(spark: SparkSession, sf_dir: str) -> LogStore:
+    store, batches = _store(spark, sf_dir)
+    for k, rows in enumerate(batches):
+        store.commit_batch(rows, k)
+    return store
+
+
+SHOWN = ("timestamp", "hostname", "severity", "app_name", "process_id", "message", "source_ip")
+SHOWN_SQL = ", ".join(f'"{c}"' for c in SHOWN)
+
+
+@query(f"SELECT {SHOWN_SQL} FROM logs {NEWEST} LIMIT 500")
+def store_tail(spark, sf_dir):
+    """The newest rows of a store of four batches, by its zone map."""
+    return StoreEngine(_filled(spark, sf_dir)).tail(n=500).select(*SHOWN)
+
+
+@query(f"SELECT {SHOWN_SQL} FROM logs WHERE event_type = 'error' AND severity = 'crit' AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25' {NEWEST} LIMIT 1000")
+def store_search(spark, sf_dir):
+    """A search over merged, sorted and indexed parts."""
+    store = _filled(spark, sf_dir)
+    store.compact()
+    return StoreEngine(store).search(query="connection NOT disk", severity="crit", limit=1000, **{"from": "2024-01-05T00:00:00Z", "to": "2024-01-25T00:00:00Z"}).select(*SHOWN)
+
+
+STORED = " + ".join(f'coalesce(strlen("{c}"), 0)' for c in (*(c for c in lifecycle.TEXTS if c != "raw"), "message"))
+
+
+@query(f"""SELECT count(*) AS total_logs, (SELECT count(DISTINCT hostname) FROM logs) AS total_hosts, min("timestamp") AS oldest_log, max("timestamp") AS newest_log, CAST(0 AS BIGINT) AS phantom_fts_rows,
+    printf('%.2f', sum({STORED}) / 1048576.0) AS logical_db_size_mb, CAST(1024 AS BIGINT) AS max_db_size_mb FROM logs WHERE received_at >= TIMESTAMP '2024-01-20' OR id % 4 = 3""")
+def store_stats_after_purge(spark, sf_dir):
+    """Three batches, a purge, and a batch with rows from before its bound, which count; no log row is read for the figures."""
+    store, batches = _store(spark, sf_dir)
+    for k, rows in enumerate(batches):
+        if k == 3:
+            store.purge(datetime(2024, 1, 20, tzinfo=UTC))
+        store.commit_batch(rows, k)
+    stats = StoreEngine(store, lifecycle.Budget(min_free_mb=0, recovery_free_mb=0)).stats()
+    return stats.select("total_logs", "total_hosts", "oldest_log", "newest_log", "phantom_fts_rows", "logical_db_size_mb", "max_db_size_mb")
+
+
+@query(f"""SELECT hostname, min(received_at) AS first_seen, max(received_at) AS last_seen, count(*) AS log_count
+    FROM (SELECT *, row_number() OVER (ORDER BY received_at) AS nth, sum({STORED}) OVER (ORDER BY received_at DESC) AS kept FROM logs)
+    WHERE nth > (SELECT ceil(coalesce(max(nth) FILTER (kept > 60000), 0) / 100.0) * 100 FROM (SELECT row_number() OVER (ORDER BY received_at) AS nth, sum({STORED}) OVER (ORDER BY received_at DESC) AS kept FROM logs)) GROUP BY hostname""")
+def store_hosts_after_budget(spark, sf_dir):
+    """The registry of a store of which the budget has taken chunks of the oldest rows."""
+    store = _filled(spark, sf_dir)
+    store.enforce_budget(60_000, 100)
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return store.hosts().select("hostname", ntz("first_seen"), ntz("last_seen"), "log_count")

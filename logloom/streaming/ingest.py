@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logloom.functions.parse import parse_container_line, parse_syslog, truncate_utf8
 from logloom.functions.timeutil import nanos
-from logloom.operators.aggregates import after_checkpoint, ingest_summary
+from logloom.operators.aggregates import after_checkpoint, sender_counts, summary_of
 from logloom.streaming.store import LogStore
 
 CONTAINER_SCHEMA = "host_name string, container_id string, name string, project string, service string, stream string, line string, received_at timestamp"
@@ -59,9 +61,12 @@ def ingest(lines: DataFrame, store: LogStore, checkpoint: str, containers: bool
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def summarize(rows: DataFrame) -> DataFrame:
-    """The ingest summary of a stream or table of parsed rows."""
-    if rows.isStreaming:
-        windows = F.window("received_at", "60 seconds").alias("w")
-        return rows.withWatermark("received_at", "1 minute").groupBy(windows).agg(F.count("*").alias("total"), F.approx_count_distinct("hostname").alias("hosts"), F.approx_count_distinct("source_ip").alias("sources"))
-    return ingest_summary(rows)
+def summarize(rows: DataFrame, sink: Callable[[DataFrame], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Starts the ingest summary of a stream of parsed rows: sink gets each minute's line, with its top senders, once it is over.
+
+    The stream's state holds counts by minute and sender; a minute is over when rows of a minute and more after its end have
+    come, and rows later than that are not counted. What sink gets equals summary_of(sender_counts(rows)) of a table.
+    """
+    counts = sender_counts(rows.withWatermark("received_at", "1 minute"))
+    writer = counts.writeStream.outputMode("append").foreachBatch(lambda batch, n: sink(summary_of(batch))).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
