@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from logloom.functions.parse import parse_container_line, parse_syslog, truncate_utf8
 from logloom.functions.timeutil import nanos
 from logloom.operators.aggregates import after_checkpoint, sender_counts, summary_of
+from logloom.streaming.containers import keyed_state, unread
 from logloom.streaming.store import LogStore
 
 CONTAINER_SCHEMA = "host_name string, container_id string, name string, project string, service string, stream string, line string, received_at timestamp"
@@ -42,23 +44,26 @@ def parsed_containers(lines: DataFrame) -> DataFrame:
     return rows.withColumn("last_timestamp", F.col("timestamp"))
 
 
-def ingest(lines: DataFrame, store: LogStore, checkpoint: str, containers: bool = False, every: str | None = None, blocked=lambda: False, name: str | None = None) -> StreamingQuery:
+def ingest(lines: DataFrame, store: LogStore, checkpoint: str, containers: bool = False, every: str | None = None, blocked=lambda: False, name: str | None = None, ttl_ms: int | None = None) -> StreamingQuery:
     """Starts the stream into store; without `every` it takes what there is and ends.
 
-    A replayed batch is committed once. Container lines not later than their container's checkpoint are dropped. Streams
+    A replayed batch is committed once. Container lines not later than their container's checkpoint are dropped: by the
+    store's table, or with ttl_ms by the stream's own keyed state, which touches only the containers of a batch. Streams
     into one store need a name each, kept with their checkpoint; without one it is syslog or containers.
     """
-    stream = name or ("containers" if containers else "syslog")
+    stream, keyed = name or ("containers" if containers else "syslog"), containers and ttl_ms is not None
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        rows = parsed_containers(batch) if containers else parsed_syslog(batch)
-        if containers:
+        rows = batch.drop("host_name", "container_id", "last_timestamp") if keyed else parsed_containers(batch) if containers else parsed_syslog(batch)
+        if containers and not keyed:
             seen = store.checkpoints().select("host_name", "container_id", nanos(F.col("last_timestamp")).alias("checkpoint_nanos"))
             rows = after_checkpoint(rows.withColumn("entry_nanos", nanos(F.col("timestamp"))), seen).drop("entry_nanos")
         store.commit_batch(rows, batch_id, blocked(), stream)
 
-    writer = lines.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    with keyed_state(lines.sparkSession) if keyed else contextlib.nullcontext():
+        rows = unread(parsed_containers(lines), ttl_ms) if keyed else lines
+        writer = rows.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
+        return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def summarize(rows: DataFrame, sink: Callable[[DataFrame], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
