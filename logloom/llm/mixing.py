@@ -11,7 +11,7 @@ hypergeometric distribution, until each of `n_shards` output shards has its exac
 permutation then deal disjoint blocks to the shards, and a second hash gives the order within a shard.
 
 Ranks are counted in hash buckets of a source, so a hot source is spread over many tasks. Only counts by source (one
-row each) meet in one task.
+row each) meet in one task: targets, quotas and the tree hang on all sources at once, and their number bounds them.
 """
 
 from __future__ import annotations
@@ -130,8 +130,8 @@ def shard_quotas(quotas: DataFrame, n_shards: int, seed: int) -> DataFrame:
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, source, size. A row of its own for each input row, also where doc_id repeats or is null."""
-    sized = docs.select("doc_id", "source", space_word_count(F.col("text")).alias("size"))
+    """uid, doc_id, source, size, mark (a hash of the text). A row of its own for each input row, also where doc_id repeats or is null."""
+    sized = docs.select("doc_id", "source", space_word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"))
     return checkpointed(sized.withColumn("uid", F.monotonically_increasing_id()))
 
 
@@ -139,8 +139,8 @@ def mixture(sized: DataFrame, targets: DataFrame, block_words: int = 512, n_shar
     """The mix, a row for each drawn block: shard, place, uid, pass, block, first_word, n_words.
 
     Sorting a shard by place gives its order. Words of a block: first_word to first_word + n_words, from 0.
-    Documents without words give no block; an empty table gives no rows. The same input and seed give the same mix;
-    rows equal in doc_id, source and size may change places.
+    Documents without words give no block; an empty table gives no rows. The same rows and seed give the same mix, in whatever
+    order or partitions they come; which of two rows equal in doc_id, source and text is which makes no difference.
     """
     quota = F.least(F.round("target").cast("bigint"), F.col("source_size") * max_repeat)
     # A source's quota of words: whole passes over it, and `rest` words of one more.
@@ -150,7 +150,7 @@ def mixture(sized: DataFrame, targets: DataFrame, block_words: int = 512, n_shar
     rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("whole").cast("int")))).where("pass < whole OR rest > 0")
     rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1)))
     rows = rows.withColumn("words", F.least(F.lit(block_words), F.col("size") - F.col("block") * block_words).cast("bigint"))
-    rows = rows.withColumn("key", F.xxhash64(F.lit(seed), "pass", "doc_id", "source", "size", "block"))
+    rows = rows.withColumn("key", F.xxhash64(F.lit(seed), "pass", "doc_id", "source", "size", "mark", "block"))
     rows = rows.withColumn("bucket", F.shiftrightunsigned("key", 64 - bucket_bits)).withColumn("partial", F.col("pass") == F.col("whole"))
     rows = rows.select("uid", "source", "pass", "block", "words", "key", "bucket", "partial", "rest")
     # What comes before a bucket in its source's permutation, from counts by bucket.
@@ -164,7 +164,9 @@ def mixture(sized: DataFrame, targets: DataFrame, block_words: int = 512, n_shar
     start = F.col("before") + F.sum("words").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
     drawn = drawn.withColumn("start", start).where("NOT partial OR start < rest")
     drawn = drawn.withColumn("n_words", F.when(F.col("partial"), F.least("words", F.col("rest") - F.col("start"))).otherwise(F.col("words")))
-    drawn = drawn.withColumn("nth", F.row_number().over(in_bucket)).drop("s", "p", "b")
+    # Blocks of equal key are told apart by their rank among these, not by a row's number, which hangs on how rows came in.
+    same_key = F.row_number().over(in_bucket) - F.rank().over(Window.partitionBy("source", "pass", "bucket").orderBy("key"))
+    drawn = drawn.withColumns({"nth": F.row_number().over(in_bucket), "twin": same_key}).drop("s", "p", "b")
     upto_all = Window.partitionBy("source").orderBy("pass", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     ranks = drawn.groupBy("source", "pass", "bucket").agg(F.count("*").alias("n"))
     quotas = shard_quotas(ranks.groupBy("source").agg(F.sum("n").alias("blocks")), n_shards, seed).withColumnRenamed("source", "qs")
@@ -174,7 +176,7 @@ def mixture(sized: DataFrame, targets: DataFrame, block_words: int = 512, n_shar
     rank = F.col("blocks_before") + F.col("nth")
     return dealt.select(
         F.size(F.filter("ends", lambda e: e < rank)).alias("shard"),
-        F.xxhash64(F.lit(seed + 1), "key", "uid").alias("place"),
+        F.xxhash64(F.lit(seed + 1), "key", "twin").alias("place"),
         "uid", "pass", "block", (F.col("block") * block_words).alias("first_word"), "n_words",
     )
 
@@ -209,6 +211,6 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     uid, *names = free_names(docs.columns, "uid", *new)
     # The numbers of rows hold for one written copy of docs; without it a retried task could deal them anew.
     numbered = stored(docs.withColumn(uid, F.monotonically_increasing_id()))
-    sized = numbered.select(F.col(uid).alias("uid"), "doc_id", "source", space_word_count(F.col("text")).alias("size"))
+    sized = numbered.select(F.col(uid).alias("uid"), "doc_id", "source", space_word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"))
     drawn = drawn_documents(docs, sized, **options).where("taken > 0").select(F.col("uid").alias(uid), *[F.col(c).alias(n) for c, n in zip(new, names)])
     return numbered.join(drawn, uid).drop(uid)

@@ -34,6 +34,13 @@ def test_mixing(docs):
     assert mixing.mix_documents(docs.where("false")).count() == 0
 
 
+def test_mixing_agrees_with_itself(spark, sf_dir, docs):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for df in (docs, table.unionByName(table.limit(20))):
+        once, *again = (sorted(map(repr, mixing.mix_documents(d).collect())) for d in (df.repartition(1), df.repartition(7), df.orderBy(F.rand(5))))
+        assert all(a == once for a in again)
+
+
 def test_secrets(docs):
     got = secrets.scan_secrets(docs).collect()
     assert len(got) == len(TEXTS) and all(r.spans == "" for r in got)

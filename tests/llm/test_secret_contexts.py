@@ -32,7 +32,42 @@ def test_prose_stays(text):
     assert secrets.redact_text(text) == text
 
 
+RANKS = secrets.word_ranks()
+
+
+@pytest.mark.parametrize("text", ["login: photosynthesis", "passphrase: mountaineering", "pwd = wonderfulness", "token -> configuration", "the password Verantwortung", "secret is: informationen"])
+def test_words_are_no_secrets(text):
+    assert secrets.redact_text(text, ranks=RANKS) == text
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("secret_one_two_three_four_five_six = gX7#pQ2vR9zLk4", "gX7#pQ2vR9zLk4"),
+        ("token_" + "x" * 90 + ": gX7#pQ2vR9zLk4", "gX7#pQ2vR9zLk4"),
+        ("password XKJWQPZLMRTVBN", "XKJWQPZLMRTVBN"),
+        ("password => q8#Zt!w2Lp0x", "q8#Zt!w2Lp0x"),
+        ("token -> q8#Zt!w2Lp0x", "q8#Zt!w2Lp0x"),
+        ("pwd := q8#Zt!w2Lp0x", "q8#Zt!w2Lp0x"),
+        ("password:\tq8#Zt!w2Lp0x", "q8#Zt!w2Lp0x"),
+        ("my login\tis\tq8#Zt!w2Lp0x", "q8#Zt!w2Lp0x"),
+    ],
+)
+def test_names_and_signs_of_any_kind(text, value):
+    assert secrets.redact_text(text, ranks=RANKS) in (text.replace(value, "[secret]"), "[secret]")
+
+
+def test_precision_on_random_and_plain_values():
+    r = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    hard = ["".join(r.choice(letters) for _ in range(r.randint(10, 24))) for _ in range(300)]
+    plain = r.sample([w for w in RANKS if w.isascii() and 8 <= len(w)], 300)
+    found = [v for v in hard + plain if secrets.guess_spans(f"login: {v}", [], ranks=RANKS)]
+    assert sum(v in found for v in hard) >= 295 and not set(plain) & set(found)
+
+
 def test_long_texts_take_linear_time():
+    assert secrets.scan_text("token_" * 40_000 + " = x")["spans"] == ""
     assert secrets.scan_text("token_" * 40_000)["spans"] == ""
 
 
