@@ -117,6 +117,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ra
     `similarity` of their shingle occurrences or more (copies.py), or, with radius=2, whose fingerprints differ in at
     most 2 bits, whatever their similarity. Null and empty texts have fingerprint zero and link with each other.
     Rows with the same doc_id each keep their own fingerprint. A null doc_id counts only where a component has no other.
+    Long texts are read whole; an empty table gives no rows; other columns are not looked at.
     """
     if radius is None:
         rows = near_copies(docs, F.xxhash64("text"), fingerprint_column(F.col("text"), width).alias("fp"), width=width, similarity=similarity)

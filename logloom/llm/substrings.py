@@ -123,7 +123,8 @@ def remove_repeats(docs: DataFrame, width: int = 13, k: int = 5) -> DataFrame:
     Words are runs without spaces, unchanged. A word goes if a run of `width` words that covers it also stands in a
     document with a smaller doc_id. spans are the compacted paths, as word numbers start and end (exclusive); kept is the
     remaining words joined by one space. Null and empty texts have no words. Texts shorter than `width` stay. Rows that
-    share a doc_id are judged each by itself, against smaller ids; a null doc_id removes nothing and loses nothing.
+    share a doc_id are judged each by itself, against smaller ids; a null doc_id removes nothing and loses nothing. Long texts
+    are read whole; an empty table gives no rows; other columns are not looked at.
     """
     texts = keyed_texts(docs)
     # Of each text, the smallest document; two texts of one key are told apart by their digest.

@@ -160,6 +160,10 @@ def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted: a row for each row of docs."""
+    """doc_id, held_out, score, predicted: a row for each row of docs.
+
+    Null and empty texts get the score of no words; long texts are scored whole. Rows that repeat are scored alike; a null doc_id
+    is neither held out nor learnt from. An empty table gives no rows; other columns are not looked at.
+    """
     model = train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
     return score_documents(docs.select("doc_id", "text"), model, threshold).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
