@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 from logloom.llm.common import checkpointed
 
 
+#: Of a small block, one vector in so many is verified (four times the wanted ones at least) before the windows stop to widen.
+SHARE = 3
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows whose vector is neither null nor zero and has only finite components."""
     x = F.col("embedding")
@@ -82,7 +86,7 @@ def search_block(base: pd.DataFrame, asked: pd.DataFrame, k: int, lines: int, wi
     unit = x / (float(np.sqrt(base["norm2"].iloc[0])) * (1 + 1e-12))
     unit = np.hstack([unit, np.sqrt(np.maximum(0, 1 - (unit**2).sum(1)))[:, None]])
     centre = np.hstack([q / np.linalg.norm(q, axis=1)[:, None], np.zeros((len(q), 1))])
-    index = None
+    index, enough = None, min(enough, max(4 * k, -(-len(x) // SHARE)))
     if len(x) > enough:
         dirs = np.random.default_rng(seed).standard_normal((lines, unit.shape[1]))
         index = BlockIndex(unit, dirs / np.linalg.norm(dirs, axis=1)[:, None], ids)
@@ -130,7 +134,8 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, **opti
     queries nor as candidates. A query meets the vectors of its own length only. A query's own vec_id is no candidate.
     Fewer than k candidates: all of them. Ties go to the smaller vec_id. A vec_id that repeats is searched and found once
     for each different vector, and listed with the best score. An empty table gives no rows. `threshold` is the part of a
-    query's `windows` that a vector must come into; `enough` vectors of each block do so at least before any is verified.
+    query's `windows` that a vector must come into; `enough` vectors of each block, or a third of a small one, do so at
+    least before any is verified. Only a block of no more than 4 * k vectors is verified whole.
     """
     found = found_in_blocks(vectors, is_query, k, **options)
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
