@@ -30,9 +30,9 @@ def write_postings(store, parts: list[Part]) -> list[Part]:
     if not parts:
         return parts
     folder = uuid.uuid4().hex
-    found = [store.rows_of([p]).select(F.lit(p.path).alias("path"), F.lit(p.n).alias("rows"), "id", F.explode(F.array_distinct("tokens")).alias("stem")) for p in parts]
+    found = reduce(DataFrame.unionAll, (store.rows_of([p]).select(F.lit(p.path).alias("path"), F.lit(p.n).alias("rows"), "id", "tokens") for p in parts))
     same = Window.partitionBy("path", "stem")
-    counted = reduce(DataFrame.unionAll, found).withColumns({"n": F.count("*").over(same), "nth": F.row_number().over(same.orderBy("id"))})
+    counted = found.select("path", "rows", "id", F.explode(F.array_distinct("tokens")).alias("stem")).withColumns({"n": F.count("*").over(same), "nth": F.row_number().over(same.orderBy("id"))})
     common = F.col("n") * COMMON > F.col("rows")
     lines = counted.where(~common | (F.col("nth") == 1)).select("stem", "path", "n", F.when(~common, F.col("id")).alias("id"))
     lines.repartitionByRange("stem", "path", "id").sortWithinPartitions("stem", "path", "id").write.parquet(store.files.path("index", folder))

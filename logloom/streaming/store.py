@@ -38,6 +38,8 @@ KEEP, TRIES, GRACE_SECS = 20, 20, 86_400
 TOPS = ("data", "logs", "tables", "staged", "index")
 #: Rows of a sorted part.
 PART_ROWS = 2_000_000
+#: Finished days of no more rows than that which are sorted in one go.
+DAYS = 32
 #: Writers of one driver take turns, and wait so many seconds, so that they need not do work again.
 WRITING, WAIT_SECS = threading.RLock(), 600
 
@@ -132,12 +134,12 @@ class LogStore:
     def checkpoints(self) -> DataFrame:
         return self._table(self.state()["checkpoints"], CHECKPOINTS)
 
-    def write_parts(self, rows: DataFrame, slices: int = 0, level: int = 0) -> list[Part]:
-        """rows (of the logs' columns) written as new parts, one for each day, or with slices so many, each sorted by time."""
+    def write_parts(self, rows: DataFrame, slices: int = 0, level: int = 0, days: int = 1) -> list[Part]:
+        """rows (of the logs' columns) written as new parts, one for each day, or with slices sorted by time: so many of one day, or one of each of several days."""
         folder, by = f"data/{uuid.uuid4().hex}", ["day", "slice"] if slices else ["day"]
         cut = rows.select(*LOGS.fieldNames(), day_of(F.col("received_at")).alias("day"))
         if slices:
-            cut = cut.repartitionByRange(slices, "ts", "id").withColumn("slice", F.spark_partition_id().cast("long")).sortWithinPartitions(*by, "ts", "id")
+            cut = (cut.repartitionByRange(days, "day") if days > 1 else cut.repartitionByRange(slices, "ts", "id")).withColumn("slice", F.spark_partition_id().cast("long")).sortWithinPartitions(*by, "ts", "id")
         cut.write.partitionBy(*by).parquet(self.files.path(folder))
         if not self.files.children(folder).keys() - {"_SUCCESS"}:
             return []
@@ -286,10 +288,20 @@ class LogStore:
         Rows stay the same; readers under way keep the parts they read. today counts days since the epoch.
         """
         merged, today = 0, int(time.time() * 1_000_000 // DAY) if today is None else today
+        groups, small = [], []
         for group in to_merge(self.state()["parts"], today, rows):
-            old = self.rows_of(group)
+            if group[0].day >= today or sum(p.n for p in group) > rows:
+                groups.append(group)
+                continue
+            # Finished days of few rows go together, up to DAYS of them.
+            if len({p.day for p in small}) == DAYS:
+                groups.append(small)
+                small = []
+            small = small + group
+        for group in [*groups, small] if small else groups:
+            old, days = self.rows_of(group), len({p.day for p in group})
             if group[0].day < today:
-                new = write_postings(self, self.write_parts(old, -(-sum(p.n for p in group) // rows), SORTED))
+                new = write_postings(self, self.write_parts(old, -(-sum(p.n for p in group) // rows), SORTED, days))
             else:
                 new = self.write_parts(old.coalesce(1), level=max(p.level for p in group) + 1)
             swapped = self._commit(lambda base: {"parts": [*(p for p in base["parts"] if p not in group), *new]} if all(p in base["parts"] for p in group) else None)
