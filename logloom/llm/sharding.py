@@ -25,6 +25,8 @@ from logloom.llm.common import checkpointed, free_names, numbered, stored
 
 #: Bits of a dimension's cells.
 BITS = 4
+#: Tasks that compute the curve for the places, which take some 0.3 ms each.
+CURVE_TASKS = 32
 #: Rows of a place that are put in order together.
 PIECE = 50_000
 #: Bytes that count for a row besides those of its text.
@@ -136,7 +138,7 @@ def shard(docs: DataFrame, shards: int, law: str = "rows", dims=DIMENSIONS, bits
     rows = rows.withColumn(grid, place(codes, cuts, bits)).drop(*codes)
 
     here = rows.groupBy(grid).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
-    visited = here.withColumn("curve", curve_index(F.col(grid), len(dims), bits))
+    visited = here.repartition(CURVE_TASKS, grid).withColumn("curve", curve_index(F.col(grid), len(dims), bits))
     along = Window.orderBy("curve")  # at most 2 ** (bits * dimensions) rows, whatever the table's size
     before_place = checkpointed(visited.select(grid, F.greatest(F.ceil(F.col("n") / F.lit(piece)), F.lit(1)).alias("pieces"), (F.sum("n").over(along) - F.col("n")).alias("rows_before"), (F.sum("bytes").over(along) - F.col("bytes")).alias("bytes_before")))
     total = here.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()

@@ -319,5 +319,5 @@ def test_oracle(spark, sf_dir, name):
 
 def test_registered(spark):
     names = entry.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert urls.BROADCAST_RULES > len(urls.RULES)
