@@ -26,12 +26,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == before or mark["n"] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = mark
-        # Small tables need few tasks: every task of a shuffle writes files of its own.
-        now = now.coalesce(max(1, -(-mark["n"] // EDGES_A_TASK)))
-        both = now.union(now.select("v", "u"))
+        # Small tables need few tasks: every task of a shuffle writes files of its own, and a table of one task needs no shuffle,
+        # so both directions come from one read and not from a union, which would have tasks of its own.
+        tasks = max(1, -(-mark["n"] // EDGES_A_TASK))
+        ways = F.array(F.struct(F.col("u").alias("u"), F.col("v").alias("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = now.coalesce(tasks).select(F.explode(ways).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = checkpointed(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        now = checkpointed(small.union(least.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct())
     raise RuntimeError("the components did not settle; raise max_rounds")
