@@ -1,7 +1,8 @@
 """python -m logloom STORE ACTION [NAME=VALUE ...]: answers a request over a store, a JSON object for each row.
 
 Besides there are purge (drops what is older than the retention), budget (lets the oldest rows go until the storage budget
-holds), compact (merges parts) and maintain (all three); config=FILE names the settings, LOGLOOM_* variables overrule it.
+holds), compact (merges parts) and maintain (all three); backup to=FOLDER, restore from=FOLDER [version=N], and reset
+to=FOLDER, which empties the store after a backup; config=FILE names the settings, LOGLOOM_* variables overrule it.
 Streams do the same by themselves (streaming/upkeep.py); doing it from another process beside them is safe.
 """
 
@@ -15,11 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 from logloom.plans.service import ACTIONS, Correlation, StoreEngine
 from logloom.schema import Busy, InvalidInput, QueryFailed
 from logloom.settings import load_settings
+from logloom.streaming.backup import backup, reset, restore
 from logloom.streaming.store import LogStore
 from logloom.streaming.upkeep import budget, compact, purge
 
 UPKEEP = {"purge": (purge,), "budget": (budget,), "compact": (compact,), "maintain": (purge, budget, compact)}
-USAGE = f"{__doc__}\nActions: {', '.join((*ACTIONS, *UPKEEP))}"
+COPIES = {
+    "backup": lambda store, to: {"backed_up": sum(p.n for p in backup(store, to)["parts"])},
+    "restore": lambda store, **given: {"restored": restore(store, given["from"], given.get("version"))},
+    "reset": lambda store, to: {"deleted": reset(store, to)},
+}
+NEEDS = {"backup": {"to"}, "restore": {"from"}, "reset": {"to"}}
+USAGE = f"{__doc__}\nActions: {', '.join((*ACTIONS, *UPKEEP, *COPIES))}"
 
 
 def parameters(words: list[str]) -> dict:
@@ -34,7 +42,7 @@ def show(df: DataFrame) -> None:
 
 
 def main(words: list[str]) -> int:
-    if len(words) < 2 or words[1] not in (*ACTIONS, *UPKEEP) or any("=" not in w for w in words[2:]):
+    if len(words) < 2 or words[1] not in (*ACTIONS, *UPKEEP, *COPIES) or any("=" not in w for w in words[2:]):
         print(USAGE, file=sys.stderr)
         return 2
     spark = SparkSession.builder.appName("logloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -48,6 +56,11 @@ def main(words: list[str]) -> int:
                 done |= piece(store, settings)
             print(json.dumps(done))
             return 0
+        if words[1] in COPIES:
+            if NEEDS[words[1]] - given.keys() or given.keys() - NEEDS[words[1]] - ({"version"} if words[1] == "restore" else set()):
+                raise InvalidInput(f"{words[1]} needs {', '.join(NEEDS[words[1]])}=FOLDER")
+            print(json.dumps(COPIES[words[1]](store, **given)))
+            return 0
         answer = StoreEngine(store, settings.budget if words[1] == "stats" else None).run(words[1], **given)
     except (InvalidInput, QueryFailed, Busy) as error:
         print(error, file=sys.stderr)

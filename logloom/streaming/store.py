@@ -79,12 +79,16 @@ class LogStore:
 
             return upgrade(self) or NEW
         if self._read[0] != last:
-            state = json.loads(self.files.read("versions", f"{last}.json"))
-            if state["format"] != FORMAT:
-                raise RuntimeError(f"the store has format {state['format']}, this reads {FORMAT}")
-            self._read = (last, state | {"parts": [Part(**p) for p in state["parts"]]})
+            self._read = (last, self.at(last))
         return self._read[1]
 
+    def at(self, version: int) -> dict:
+        """The version of a number, with its parts."""
+        state = json.loads(self.files.read("versions", f"{version}.json"))
+        if state["format"] != FORMAT:
+            raise RuntimeError(f"the store has format {state['format']}, this reads {FORMAT}")
+        return state | {"parts": [Part(**p) for p in state["parts"]]}
+
     def publish(self, state: dict) -> bool:
         """Makes state the version it names; False if there is one of that number."""
         text = json.dumps(state | {"parts": [asdict(p) for p in state["parts"]]})

@@ -17,6 +17,10 @@ def test_requests_over_a_store(spark, tmp_path, capsys):
     assert main([str(tmp_path), "stats"]) == 0
     stats = json.loads(capsys.readouterr().out)
     assert stats["total_hosts"] == 1 and stats["max_db_size_mb"] == 1024 and stats["write_blocked"] is False and len(stats) == 11
+    saved = f"{tmp_path}-saved"
+    assert main([str(tmp_path), "backup", f"to={saved}"]) == 0 and main([str(tmp_path), "reset", f"to={saved}"]) == 0 and main([str(tmp_path), "restore", f"from={saved}", "version=1"]) == 0
+    assert [json.loads(x) for x in capsys.readouterr().out.splitlines()] == [{"backed_up": 1}, {"deleted": 1}, {"restored": 1}]
+    assert main([str(tmp_path), "backup"]) == 1 and main([str(tmp_path), "restore", "from=x", "to=y"]) == 1
     assert main([str(tmp_path), "maintain"]) == 0
     assert json.loads(capsys.readouterr().out) == {"purged": 1, "deleted": 0, "write_blocked": False, "merged": 0}
     assert main([str(tmp_path), "correlate"]) == 1 and main(["x", "nope"]) == 2
