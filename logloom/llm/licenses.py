@@ -76,6 +76,70 @@ TEMPLATES = {
         "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work",
         ("waived all copyright and related or neighboring rights to this work",),
     ),
+    "bsd-3": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        ("may be used to endorse or promote products derived from this software without specific prior written permission",),
+    ),
+    "0bsd": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS",
+        ("with or without fee is hereby granted the software is provided as is",),
+    ),
+    "gpl-2": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+        ("gnu general public license as published by the free software foundation either version 2 of the license",),
+    ),
+    "lgpl-3": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        ("gnu lesser general public license as published by the free software foundation either version 3 of the license",),
+    ),
+    "gfdl": (
+        "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation; with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts",
+        ("under the terms of the gnu free documentation license",),
+    ),
+    "cc-by-sa": (
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0 or send a letter to Creative Commons",
+        ("licensed under a creative commons attribution sharealike 4 0 international license",),
+    ),
+    "cc-by-nc": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-nc/4.0 or send a letter to Creative Commons",
+        ("licensed under a creative commons attribution noncommercial 4 0 international license",),
+    ),
+    "cddl": (
+        "The contents of this file are subject to the terms of the Common Development and Distribution License (the License). You may not use this file except in compliance with the License",
+        ("subject to the terms of the common development and distribution license",),
+    ),
+    "eupl": (
+        "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL (the Licence); You may not use this work except in compliance with the Licence",
+        ("as soon they will be approved by the european commission", "subsequent versions of the eupl"),
+    ),
+    "artistic": (
+        "This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed. The intent is that the Copyright Holder maintains some artistic control over the development of that Package while still keeping the Package available as open source and free software",
+        ("the copyright holder maintains some artistic control over the development of that package",),
+    ),
+    "ofl": (
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1. This license is copied below, and is also available with a FAQ at",
+        ("licensed under the sil open font license",),
+    ),
+    "postgresql": (
+        "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies",
+        ("without a written agreement is hereby granted", "this paragraph and the following two paragraphs appear in all copies"),
+    ),
+    "ms-pl": (
+        "This license governs use of the accompanying software. If you use the software, you accept this license. If you do not accept the license, do not use the software",
+        ("governs use of the accompanying software if you use the software you accept this license",),
+    ),
+    "ncsa": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal with the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        ("to deal with the software without restriction",),
+    ),
+    "openssl": (
+        "This product includes software developed by the OpenSSL Project for use in the OpenSSL Toolkit",
+        ("software developed by the openssl project for use in the openssl toolkit",),
+    ),
+    "psf": (
+        "PSF hereby grants Licensee a nonexclusive, royalty-free, world-wide license to reproduce, analyze, test, perform and/or display publicly, prepare derivative works, distribute, and otherwise use Python alone or in any derivative version",
+        ("psf hereby grants licensee a nonexclusive royalty free world wide license",),
+    ),
 }
 #: Words too common to index.
 STOP_WORDS = frozenset("a an and any are as at be by for if in is it its may not of on one or that the this to was with you can your all".split())
