@@ -1,4 +1,7 @@
-"""Near copies at a given shingle similarity: prefix keys find candidates, SimHash prunes them, whole shingle sets decide.
+"""Near copies at a given shingle similarity: SimHash chains and prefix keys find candidates, SimHash prunes them, whole shingle sets decide.
+
+Close copies, which differ in at most 2 of 64 bits of their SimHash, are found by pigeonring chains (chains.py). Those
+that are further apart, down to the similarity, are found by prefix keys:
 
 The similarity of two texts is the share of shingle occurrences that they have in common: shared ones over all of both.
 With the occurrences of every text in one global order, two texts of at least the similarity share one of the first
@@ -6,8 +9,8 @@ n - ceil(similarity * n) + 1 occurrences of each, so an equi-join on these prefi
 right; shingles that a sample finds often come last, which keeps common lines out of the prefixes.
 
 Candidates then compare SimHash fingerprints of 256 bits. At a similarity of 0.8 these differ in 39 bits with a deviation
-of 6, so the radius of 68 loses less than one pair in a million; unrelated texts differ in 128. Pigeonring chains cannot
-find the candidates: for such a radius each segment of 8 bits may differ in 2, so that it is no join key, and of unrelated
+of 6, so the radius of 68 loses less than one pair in a million; unrelated texts differ in 128. Pigeonring chains of that
+radius cannot find the candidates: each segment of 8 bits may differ in 2, so that it is no join key, and of unrelated
 texts one pair in seven agrees that well on a segment.
 
 Equal texts are one node. A key of up to three nodes gives all its pairs, from sums by key alone. A key of more, a crowd,
@@ -27,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.chains import links
 from logloom.llm.common import checkpointed, stored
 from logloom.llm.components import connected_components
 from logloom.llm.tokens import mix, run_hashes, word_hashes
@@ -162,7 +166,19 @@ def first_candidates(shared: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     third = F.col("x").bitwiseXOR(a).bitwiseXOR(b)
     pairs = F.when(F.col("m") == 2, F.array(pair(a, b))).when(F.col("m") == 3, F.array(pair(a, b), pair(a, third), pair(third, b))).otherwise(F.array(pair(a, F.col("sig"))))
-    return shared.select(F.explode(pairs).alias("p")).select("p.u", "p.v").where("u < v").distinct()
+    return shared.select(F.explode(pairs).alias("p")).select("p.u", "p.v").where("u < v")
+
+
+def chain_candidates(nodes: DataFrame) -> DataFrame:
+    """u, v (u < v): stars around the least node of each 64-bit SimHash, and the links of the chains between those."""
+    f = _FP[0]
+    firsts = nodes.groupBy(f).agg(F.min("sig").alias("first"))
+    same = nodes.select(f, "sig").join(firsts, f).select(F.col("first").alias("u"), F.col("sig").alias("v"))
+    near = links(firsts.select(F.col(f).alias("fp")))
+    for side in ("u", "v"):
+        near = near.join(firsts.select(F.col(f).alias(side), F.col("first").alias(f"{side}_first")), side)
+    near = near.select(F.least("u_first", "v_first").alias("u"), F.greatest("u_first", "v_first").alias("v"))
+    return same.union(near).where("u < v")
 
 
 def _described(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -210,7 +226,8 @@ def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 def node_components(docs: DataFrame, nodes: DataFrame, width: int, similarity: float, radius: int) -> DataFrame:
     """node, component: nodes connected by pairs of at least the similarity; a node without such a pair has no row."""
     shared = shared_keys(docs, width, similarity)
-    pairs = checkpointed(_described(first_candidates(shared), nodes).where(possible(similarity, radius)).select("u", "v", distance().alias("h")))
+    pairs = first_candidates(shared).union(chain_candidates(nodes)).distinct()
+    pairs = checkpointed(_described(pairs, nodes).where(possible(similarity, radius)).select("u", "v", distance().alias("h")))
     nearest = checkpointed(_nearest(pairs))
     edges = verified(nearest, nodes, docs, width, similarity)
     parts = connected_components(edges)
