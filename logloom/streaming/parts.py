@@ -79,7 +79,8 @@ def latest_above(parts: list[Part]) -> int | None:
 def to_merge(parts: list[Part], today: int, rows: int) -> list[list[Part]]:
     """Groups of parts to make one of: what is not sorted yet of a finished day, else FAN_IN of a level of a day.
 
-    Late rows of a finished day make small sorted parts beside the large ones; FAN_IN parts of less than `rows` are merged too.
+    Late rows of a finished day make small sorted parts beside the large ones; FAN_IN parts of less than `rows` are merged too,
+    or of less than half as many if they are sorted, since the slices of a large day have somewhat less than `rows`.
     """
     groups = []
     for day in sorted({p.day for p in parts}):
@@ -88,6 +89,6 @@ def to_merge(parts: list[Part], today: int, rows: int) -> list[list[Part]]:
         if day < today and raw:
             groups.append(raw)
         for level in sorted({p.level for p in here}):
-            same = [p for p in here if p.level == level and p.n < rows]
+            same = [p for p in here if p.level == level and p.n < (rows / 2 if level == SORTED else rows)]
             groups += [same] if len(same) >= FAN_IN and not (day < today and level < SORTED) else []
     return groups

@@ -13,7 +13,7 @@ import uuid
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.match import search
@@ -31,10 +31,11 @@ def write_postings(store, parts: list[Part]) -> list[Part]:
         return parts
     folder = uuid.uuid4().hex
     found = reduce(DataFrame.unionAll, (store.rows_of([p]).select(F.lit(p.path).alias("path"), F.lit(p.n).alias("rows"), "id", "tokens") for p in parts))
-    same = Window.partitionBy("path", "stem")
-    counted = found.select("path", "rows", "id", F.explode(F.array_distinct("tokens")).alias("stem")).withColumns({"n": F.count("*").over(same), "nth": F.row_number().over(same.orderBy("id"))})
+    each = found.select("path", "rows", "id", F.explode(F.array_distinct("tokens")).alias("stem"))
+    counted = each.groupBy("path", "rows", "stem").agg(F.count("*").alias("n"))
     common = F.col("n") * COMMON > F.col("rows")
-    lines = counted.where(~common | (F.col("nth") == 1)).select("stem", "path", "n", F.when(~common, F.col("id")).alias("id"))
+    few = each.drop("rows").join(counted.where(~common), ["path", "stem"]).select("stem", "path", "n", "id")
+    lines = few.unionByName(counted.where(common).select("stem", "path", "n", F.lit(None).cast("long").alias("id")))
     lines.repartitionByRange("stem", "path", "id").sortWithinPartitions("stem", "path", "id").write.parquet(store.files.path("index", folder))
     return [replace(p, index=folder) for p in parts]
 

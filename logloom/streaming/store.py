@@ -36,10 +36,10 @@ NEW = {"format": FORMAT, "version": 0, "next_id": 1, "batches": {}, "write_block
 KEEP, TRIES, GRACE_SECS = 20, 20, 86_400
 #: Folders that hold nothing but what versions name, or a writer is still at.
 TOPS = ("data", "logs", "tables", "staged", "index")
-#: Rows of a sorted part.
-PART_ROWS = 2_000_000
-#: Finished days of no more rows than that which are sorted in one go.
-DAYS = 32
+#: Rows of a sorted part, and about as many as a task sorts, however large a day or batch is.
+PART_ROWS = 250_000
+#: Finished days of no more rows than that which are sorted in one go, and how many times PART_ROWS they may have together.
+DAYS, TOGETHER = 32, 4
 #: Writers of one driver take turns, and wait so many seconds, so that they need not do work again.
 WRITING, WAIT_SECS = threading.RLock(), 600
 
@@ -187,7 +187,9 @@ class LogStore:
         if not begins:
             return batches
         given = rows.join(F.broadcast(self.spark.createDataFrame([b[:2] for b in begins], "_part int, _begin long")), "_part").withColumn("id", F.col("_begin") + F.col("_place"))
-        parts = self.write_parts(given)
+        # The writer sorts a task's rows by day; a large batch is dealt out first, in order of arrival.
+        tasks = -(-(first - base["next_id"]) // PART_ROWS)
+        parts = self.write_parts(given.repartitionByRange(tasks, "id") if tasks > 1 else given)
         at = F.lit(max(b[2] for b in begins)).cast("timestamp")
         changes = batches | {"next_id": first, "parts": [*base["parts"], *parts], "hosts": self._new_table(merge_hosts(self._table(base["hosts"], HOSTS), rows, at))}
         if any(b[3] for b in begins):
@@ -298,8 +300,8 @@ class LogStore:
                 groups.append(group)
                 continue
             # Finished days of few rows go together, up to DAYS of them.
-            if len({p.day for p in small}) == DAYS:
-                groups.append(small)
+            if len({p.day for p in small}) == DAYS or sum(p.n for p in small + group) > TOGETHER * rows:
+                groups += [small] if small else []
                 small = []
             small = small + group
         for group in [*groups, small] if small else groups:
@@ -307,7 +309,7 @@ class LogStore:
             if group[0].day < today:
                 new = write_postings(self, self.write_parts(old, -(-sum(p.n for p in group) // rows), SORTED, days))
             else:
-                new = self.write_parts(old.coalesce(1), level=max(p.level for p in group) + 1)
+                new = self.write_parts(old.coalesce(max(1, -(-sum(p.n for p in group) // rows))), level=max(p.level for p in group) + 1)
             swapped = self._commit(lambda base: {"parts": [*(p for p in base["parts"] if p not in group), *new]} if all(p in base["parts"] for p in group) else None)
             merged += len(group) if swapped else 0
         return merged
