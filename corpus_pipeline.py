@@ -17,7 +17,7 @@ from logloom.llm.copies import near_copies
 
 
 #: Bytes and rows of texts that go to a Python worker at once; Spark's own bounds would hold tens of MB in each of several buffers.
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 250
 
 
 def bounded_batches(spark: SparkSession) -> None:
